@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Every code point with the Unicode property White_Space, and the four ASCII separators.
-WHITE = r"[\x09-\x0d\x1c-\x20\x85\xa0  -     　]"
+WIDE_WHITE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+WHITE = r"[\x09-\x0d\x1c-\x20" + "".join(f"\\x{{{c:x}}}" for c in WIDE_WHITE) + "]"
 
 
 def trim_white(c: Column) -> Column:
