@@ -36,7 +36,7 @@ N_RAW, N_SHAPE = 4, 6
 LEAST_BULK = 400
 
 # What files say of themselves.
-_HEAD = re.compile(r"\A(?:[\s﻿]+|//[^\n]*|/\*.*?\*/|#![^\n]*|['\"]use strict['\"];?)*", re.S)
+_HEAD = re.compile(r"\A(?:[\s\ufeff]+|//[^\n]*|/\*.*?\*/|#![^\n]*|['\"]use strict['\"];?)*", re.S)
 _MADE = re.compile(
     r"do not (?:edit|modify)|nicht von hand|ne pas modifier|no editar|auto[- ]?generated|automatically (?:created|generated|produced)|@generated"
     r"|(?:code|file) generated by|\bproduced by \S+ on\b|\boutput of \S+, regenerate|\bbuilt from \S+, checksum|\bemitted from\b|source hash|wurde von \S+ erzeugt|changes made here will be lost",
@@ -50,7 +50,7 @@ _SUSPECT = re.compile(
     re.I,
 )
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|[-+0-9.,:;=\s\[\]{}]+|\b0x[0-9a-f]+|\b[a-z]\w{0,6}(?=:)", re.I)
-_COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|﻿", re.S)
+_COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|\ufeff", re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^A-Za-z0-9]+")
 
 _CLASS = np.zeros(256, dtype=np.uint8)
