@@ -78,7 +78,7 @@ def anchor_references(anchors: DataFrame, decisions: DataFrame) -> DataFrame:
         .groupBy(F.col("id").alias("decision_id"))
         .agg(F.min(F.to_timestamp("created_at")).alias("t"))
     )
-    return a.join(when, "decision_id", "left").select("anchor_id", "anchor_kind", "key", "t", F.trunc("t", "month").alias("month"))
+    return a.join(when, "decision_id", "left").select("anchor_id", "anchor_kind", "key", "t", F.date_format("t", "yyyy-MM").alias("month"))
 
 
 def _verdict():
