@@ -162,8 +162,8 @@ def representatives(df: DataFrame, text: str) -> dict[str, str]:
     """Every member that is rewritten, and the member of its class that the corpus uses most.
 
     As many rows come to the driver as there are members in use, whatever the
-    size of the corpus. Of members used equally often the shorter one stands
-    for the class, then the one with the lesser code points.
+    size of the corpus. Of members used equally often an ASCII one stands
+    for the class, then the shortest, then the one with the lesser code points.
     """
     used = {
         r["member"]: r["n"]
@@ -172,7 +172,7 @@ def representatives(df: DataFrame, text: str) -> dict[str, str]:
     groups, nothing = look_alikes()
     out = dict.fromkeys(nothing, "")
     for g in groups:
-        best = min(g, key=lambda m: (-used.get(m, 0), len(m), m))
+        best = min(g, key=lambda m: (-used.get(m, 0), not m.isascii(), len(m), m))
         out.update((m, best) for m in g if m != best)
     return out
 
