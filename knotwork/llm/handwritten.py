@@ -32,6 +32,8 @@ FIT_ROWS = 2500
 #: Sizes of the hashed tables: raw n-grams, n-grams of the shape, path components.
 RAW, SHAPE, PATH = 1 << 15, 1 << 15, 1 << 12
 N_RAW, N_SHAPE = 4, 6
+#: Copied files that are sent to all tasks, at most; more are joined by a shuffle.
+BROADCAST_FILES = 200_000
 #: Texts shorter than this have too few n-grams to be bulk data.
 LEAST_BULK = 400
 
@@ -50,13 +52,15 @@ _SUSPECT = re.compile(
     re.I,
 )
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|[-+0-9.,:;=\s\[\]{}]+|\b0x[0-9a-f]+|\b[a-z]\w{0,6}(?=:)", re.I)
-_COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|\s+|\ufeff", re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^A-Za-z0-9]+")
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 for _c in range(256):
     _ch = chr(_c)
     _CLASS[_c] = ord("a") if _ch.isalpha() or _c > 127 or _ch in "_$" else ord("0") if _ch.isdigit() else ord(" ") if _ch in " \t\r" else _c
+#: Classes that don't melt into a run.
+_STANDS = np.ones(256, dtype=bool)
+_STANDS[np.frombuffer(b"a0 ", dtype=np.uint8)] = False
 
 
 def masked(text: str) -> tuple[str, str]:
@@ -77,7 +81,7 @@ def own_label(file: str, head: str, body: str) -> int | None:
     if len(body) >= LEAST_BULK:
         if len(body) / lines > 160:
             return 1
-        if len(_LITERAL.sub("", body)) < 0.06 * len(body):
+        if body.count("(") * 200 < len(body) and len(_LITERAL.sub("", body)) < 0.06 * len(body):
             return 1
     return None if _SUSPECT.search(file) else 0
 
@@ -99,7 +103,7 @@ def _shape(data: np.ndarray) -> np.ndarray:
     if len(s) < 2:
         return s
     keep = np.ones(len(s), dtype=bool)
-    keep[1:] = (s[1:] != s[:-1]) | ~np.isin(s[1:], np.frombuffer(b"a0 ", dtype=np.uint8))
+    keep[1:] = (s[1:] != s[:-1]) | _STANDS[s[1:]]
     return s[keep]
 
 
@@ -147,9 +151,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = hashlib.blake2b("".join(body.split()).encode("utf-8", "replace"), digest_size=16).digest()
             ties.append(int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=7).digest(), "big"))
             bodies.append(digest)
-            empty = not body or not _COMMENTS.sub("", body)
-            blank.append(empty)
-            labels.append(None if empty else own_label(file, head, body))
+            blank.append(not body)
+            labels.append(own_label(file, head, body))
         yield pa.RecordBatch.from_arrays(
             [b.column("repo"), b.column("file"), b.column("indexed_at"), pa.array(ties, pa.int64()), pa.array(bodies, pa.binary()), pa.array(blank, pa.bool_()), pa.array(labels, pa.int32())],
             ["repo", "file", "indexed_at", "tie", "body_hash", "blank", "label"],
@@ -289,30 +292,31 @@ def fit_on(parsed_files: DataFrame, latest: DataFrame) -> Model:
 
 
 def _scorer(weights: np.ndarray, bias: float):
-    spare = max(0.0, 0.6 * float(weights[COPIED]))
-
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files, times, ties, out = [], [], [], []
-            for file, at, text in zip(b.column("file").to_pylist(), b.column("indexed_at"), b.column("source_text").to_pylist()):
+            kept, ties, out = [], [], []
+            for n, (file, text, copied) in enumerate(zip(b.column("file").to_pylist(), b.column("source_text").to_pylist(), b.column("copied_tie").to_pylist())):
                 body = masked(text or "")[1]
+                if not body:
+                    continue
                 s = bias + 0.2 * float(weights[_path_places(file)].sum())
                 for p in _places(body):
                     if len(p):
                         s += float(weights[p].sum()) / len(p)
-                if s + spare <= 0:
+                tie = None
+                if copied is not None:
+                    tie = _tie(text)
+                    s += 0.6 * float(weights[COPIED]) if tie == copied else 0.0
+                if s <= 0:
                     continue
                 own = grammar_of(file)
-                if own is not None and not valid(text or "", own):
+                if own is not None and not valid(text, own):
                     continue
-                files.append(file)
-                times.append(at.as_py())
-                ties.append(_tie(text))
+                kept.append(n)
+                ties.append(_tie(text) if tie is None else tie)
                 out.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(files, pa.string()), pa.array(times, b.schema.field("indexed_at").type), pa.array(ties, pa.int64()), pa.array(out, pa.float64())],
-                ["file", "indexed_at", "tie", "score"],
-            )
+            some = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("file"), some.column("indexed_at"), pa.array(ties, pa.int64()), pa.array(out, pa.float64())], ["file", "indexed_at", "tie", "score"])
 
     return scores
 
@@ -328,14 +332,18 @@ def not_handwritten(parsed_files: DataFrame) -> DataFrame:
     """
     latest = cut(_latest(parsed_files))
     model = fit_on(parsed_files, latest)
-    copied = 0.6 * float(model.weights[COPIED])
-    scored = _texts(parsed_files).mapInArrow(_scorer(model.weights, model.bias), "file string, indexed_at timestamp, tie long, score double")
-    k = latest.where(~F.col("blank")).select("file", F.col("tie").alias("t"), F.col("indexed_at").alias("at"), "copied")
+    copies = latest.where("copied").select("file", F.col("tie").alias("copied_tie"))
+    if copies.count() <= BROADCAST_FILES:
+        copies = F.broadcast(copies)
+    scored = (
+        _texts(parsed_files)
+        .join(copies, "file", "left")
+        .mapInArrow(_scorer(model.weights, model.bias), "file string, indexed_at timestamp, tie long, score double")
+    )
+    newest = latest.select("file", F.col("tie").alias("t"), F.col("indexed_at").alias("at"))
     return (
-        scored.join(k, "file")
+        scored.join(newest, "file")
         .where((F.col("tie") == F.col("t")) & F.col("indexed_at").eqNullSafe(F.col("at")))
-        .withColumn("score", F.col("score") + F.when(F.col("copied"), copied).otherwise(0.0))
-        .where(F.col("score") > 0)
         .groupBy("file")
         .agg(F.max("score").alias("score"))
     )
