@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import WIDE_WHITE
+from knotwork.session import cut
 
 # Letters of other code points with the shape of the first, by code point.
 SAME_SHAPE = {
@@ -283,7 +284,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Texts that are null, empty or show nothing are no cases, nor are rows
     without a key. Only looks with more than one string behind them meet.
     """
-    looks = _looks(df, key, text).distinct()
+    looks = cut(_looks(df, key, text).distinct())
     some = looks.join(_mixed(looks).select("look"), "look")
     a = some.select("look", F.col("key").alias("id_a"), F.col("own").alias("own_a"))
     b = some.select("look", F.col("key").alias("id_b"), F.col("own").alias("own_b"))
@@ -292,7 +293,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, class_id, n_links: rows of looks with more than one string, the least key of the look, and how many rows of it have another string."""
-    looks = _looks(df, key, text).distinct()
+    looks = cut(_looks(df, key, text).distinct())
     per = looks.groupBy("look", "own").agg(F.count(F.lit(1)).alias("same"))
     whole = per.groupBy("look").agg(F.sum("same").alias("all"))
     return (
