@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the workers of a session, once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_knotwork_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="knotwork-"))
+    with zipfile.ZipFile(folder / "knotwork.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"knotwork/{f.relative_to(root)}")
+    sc.addPyFile(str(folder / "knotwork.zip"))  # the driver serves it to the executors
+    sc._knotwork_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
