@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from knotwork.plans.relations import graph_sql
+
 # a path in one form: white space, separators, doubled separators and '.' by replacement; 'x/..' is taken back up to
 # eight times, which is more than any path here nests
 _CLEAN = r"regexp_replace(regexp_replace(replace(regexp_replace(anchor_file, '^\s+|\s+$', '', 'g'), '\', '/'), '(^|/)(\./)+', '\1', 'g'), '/{2,}', '/', 'g')"
@@ -27,3 +29,75 @@ ORACLES: dict[str, str] = {
     "p5_found": f"{_ORPHANS} select anchor_id, orphan_kind from o where orphan_kind is not null",
     "p5_report": f"{_ORPHANS} select anchor_kind, strftime(t, '%Y-%m') as month, orphan_kind, count(*) as n_anchors from o where orphan_kind is not null group by 1, 2, 3",
 }
+
+_TRIMMED = "select file, arg_max(functions, indexed_at) as functions, arg_max(imports, indexed_at) as imports, arg_max(had_parse_errors, indexed_at) as bad, arg_max(duplicate_function_names, indexed_at) as dup from parsed_files where file is not null group by file"
+_PROBES = [e for e in (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")]
+_PROBES = [*_PROBES, *("/index" + e for e in _PROBES), ""]
+_PARSED = f"""p as ({_TRIMMED}),
+f as (select file, unnest(functions, recursive := false) as x, generate_subscripts(functions, 1) - 1 as ord from p),
+fn as (select file, ord, x.name as name, x.start_line as start_line, x.end_line as end_line, x.calls as calls from f),
+c as (select file, name as caller, unnest(calls) as callee from fn),
+i0 as (select file, unnest(imports) as x, generate_subscripts(imports, 1) - 1 as ord from p),
+i1 as (select file, ord, x.local_name as local_name, x.imported_name as imported_name, x.module_specifier as module_specifier, x.is_default as is_default, x.is_namespace as is_namespace from i0),
+b as (select *, case when module_specifier[1:1] in ('.', '/') then array_to_string(list_concat(list_slice(string_split(file, '/'), 1, len(string_split(file, '/')) - 1 - (length(module_specifier) - length(replace(module_specifier, '../', ''))) // 3), [regexp_replace(module_specifier, '^(\\.\\.?/)*', '')]), '/') end as base from i1),
+pr as (select b.file, b.ord, q.pos, b.base || q.tail as path from b, (select unnest(range(13)) as pos, unnest([{", ".join("'" + e + "'" for e in _PROBES)}]) as tail) q),
+im as (select b.* exclude (base), (select arg_min(pr.path, pr.pos) from pr where pr.file = b.file and pr.ord = b.ord and pr.path in (select file from p)) as resolved_file from b),"""
+
+
+def _resolved(nodes: str, first: str) -> str:
+    return f"""i as (select * from (select *, row_number() over (partition by file, local_name order by ord) as rn from {first}) where rn = 1),
+k as (select c.*, i.local_name is not null as has, i.resolved_file, case when contains(c.callee, '.') then 'member_chain' when i.local_name is not null and i.resolved_file is null then 'external' when i.is_namespace then 'namespace_import' when i.is_default then 'default_import' end as early,
+ case when i.local_name is not null then i.resolved_file else c.file end as kf, case when i.local_name is not null then i.imported_name else c.callee end as kn from c left join i on i.file = c.file and i.local_name = c.callee),
+n as (select distinct file, name from {nodes}),
+r as (select k.*, case when early is null then n.file end as target_file, case when early is null then n.name end as target_name, coalesce(early, case when n.file is null then case when has then 'barrel_miss' else 'unknown_bare' end end) as reason from k left join n on early is null and n.file = kf and n.name = kn)"""
+
+
+_NATIVE = f"with {_PARSED} {_resolved('fn', 'im')}"
+_EDGES = "select file as source_file, caller as source_name, target_file, target_name, count(*) as count, 'calls' as kind from r where reason is null group by 1, 2, 3, 4"
+_OUTCOMES = "select x.reason, coalesce(n, 0) as n from (select unnest(['member_chain', 'external', 'default_import', 'namespace_import', 'barrel_miss', 'unknown_bare']) as reason) x left join (select reason, count(*) as n from r group by 1) y on x.reason = y.reason"
+
+_G = f"""with g as ({graph_sql('g_node_inputs')}), gn as (select file, name, kind, start_line, end_line from (select *, row_number() over (partition by file, name order by ord) as rn from g) where rn = 1),
+im as ({graph_sql('g_imports')}), c as ({graph_sql('g_calls')}), {_resolved('gn', 'im')}"""
+_PRESENT = "n as (select file, name, min(id) as id, max(struct_pack(t := indexed_at, s := start_line, e := end_line)) as x from nodes where removed_at is null and file is not null and name is not null group by file, name), nn as (select id, file, name, 'function' as kind, x.s as start_line, x.e as end_line from n)"
+_STORE = """d as (select id, x.decision as decision, x.session_id as session_id, x.created_at as created_at from (select id, min(struct_pack(decision := decision, session_id := session_id, created_at := created_at)) as x from decisions where id is not null group by id)),
+a as (select distinct decision_id, anchor_kind, anchor_file, coalesce(anchor_name, '') as anchor_name from decision_anchors),
+kw as (select distinct decision_id, keyword from decision_keywords where keyword is not null)"""
+_LIVE = f"with {_PRESENT}, {_STORE}, l as (select a.*, case when anchor_kind = 'function' then exists (select 1 from nn where nn.file = a.anchor_file and nn.name = a.anchor_name) else exists (select 1 from nn where nn.file = a.anchor_file) end as live from a)"
+_SESSIONS = f"""with e as ({graph_sql('g_events')}), ga as ({graph_sql('g_anchors')}), pr as (select distinct decision_id, anchor_file as file from ga),
+s as (select e.*, sum(case when op in ('clear', 'end') then 1 else 0 end) over (partition by session_id order by seq rows unbounded preceding) as ep_s, sum(case when op = 'reset_all' then 1 else 0 end) over (order by seq rows unbounded preceding) as ep_g from e),
+x as (select s.seq, s.session_id, pr.decision_id, row_number() over (partition by s.session_id, ep_s, ep_g, pr.decision_id order by s.seq) as rn from s join pr on pr.file = s.file where s.op = 'read')"""
+
+ORACLES |= {
+    "resolved_edges": f"{_NATIVE} {_EDGES}",
+    "call_outcomes": f"{_NATIVE} {_OUTCOMES}",
+    "index_totals": f"{_NATIVE} select (select count(*) from p) as files, (select count(*) from fn) as functions, count(*) as calls, count(*) filter (reason is null) as resolved, count(reason) as unresolved, (select count(*) filter (bad) from p) as files_with_parse_errors from r",
+    "import_resolution": f"with {_PARSED[:-1]} select file, ord, local_name, module_specifier, resolved_file from im",
+    "function_registry": f"with {_PARSED[:-1]} select file, name, start_line, end_line from (select *, row_number() over (partition by file, name order by ord) as rn from fn) where rn = 1",
+    "duplicate_functions": f"with p as ({_TRIMMED}) select file, name, count(*) as n_dropped from (select file, unnest(dup) as name from p) group by 1, 2",
+    "scanned_files": r"""select distinct file, case when lower(regexp_extract(file, '\.([^./]+)$', 1)) = 'ts' then 'typescript' when lower(regexp_extract(file, '\.([^./]+)$', 1)) = 'tsx' then 'tsx' else 'javascript' end as language from parsed_files
+ where regexp_matches(file, '\.(ts|tsx|js|jsx|mjs|cjs)$') and not regexp_matches(file, '(^|/)(node_modules|dist|build|out|\.git|\.ctx|__tests__|\.next|\.turbo|\.vercel|\.cache|coverage)/') and not regexp_matches(file, '(\.test\.(ts|tsx|js)|\.spec\.(ts|js)|\.config\.(ts|tsx|js|mjs|cjs)|\.d\.ts|\.min\.js|\.bundle\.js)$') and not regexp_matches(file, '(^|/)\.[^/]')""",
+    "g_first_definitions": f"{_G} select * from gn",
+    "g_duplicate_definitions": f"{_G} select file, name, count(*) - 1 as n_dropped from g group by 1, 2 having count(*) > 1",
+    "g_call_outcomes": f"{_G} {_OUTCOMES}",
+    "g_resolved_edges": f"{_G} {_EDGES}",
+    "g_upserted_nodes": f"{_G} select file, name, arg_max(start_line, ord) as start_line, arg_max(end_line, ord) as end_line, count(*) as n_inputs from g group by 1, 2",
+    "g_inserted_edges": f"{_G} select file as source_file, caller as source_name, target_file, target_name, 2 * count(*) as count from r where reason is null group by 1, 2, 3, 4",
+    "g_innermost": f"{_G}, e as ({graph_sql('g_events')}), q as (select seq, file, cast(seq % 450 + 1 as int) as line from e) select q.seq, q.file, q.line, x.s as start_line, x.e as end_line, x.n as name from (select q.seq, min(struct_pack(w := end_line - start_line, n := gn.name, s := start_line, e := end_line)) as x from q join gn on gn.file = q.file and q.line between start_line and end_line group by q.seq) z join q on q.seq = z.seq",
+    "node_by_id": f"with {_PRESENT} select * from nn where id = 2",
+    "nodes_by_name": f"with {_PRESENT} select id, file, name, start_line, end_line from nn where name = (select min(name) from nn)",
+    "nodes_by_file": f"with {_PRESENT} select id, file, name, start_line, end_line from nn where file = (select min(file) from nn)",
+    "edges_from_node": f"{_G}, ed as ({_EDGES}) select source_file, source_name, count(*) as n_targets, cast(sum(count) as bigint) as n_calls from ed group by 1, 2",
+    "edges_to_node": f"{_G}, ed as ({_EDGES}) select target_file, target_name, count(*) as n_sources, cast(sum(count) as bigint) as n_calls from ed group by 1, 2",
+    "table_counts": f"{_NATIVE}, ed as ({_EDGES}) select (select count(*) from (select distinct file, name from nodes where removed_at is null and file is not null and name is not null)) as n_nodes, (select count(*) from ed) as n_edges",
+    "decisions_for_function": f"with {_PRESENT}, {_STORE} select distinct nn.file, nn.name, d.id as decision_id from nn join a on a.anchor_file = nn.file and (a.anchor_kind = 'file' or a.anchor_name = nn.name) join d on d.id = a.decision_id",
+    "decisions_for_file": f"with {_STORE}, w as (select distinct file from parsed_files where file is not null) select distinct w.file, d.id as decision_id, d.created_at, d.session_id from w join a on a.anchor_file = w.file join d on d.id = a.decision_id",
+    "decisions_by_keyword": f"with {_STORE} select id, decision, session_id, created_at from d where id in (select decision_id from kw where keyword = 'ordering')",
+    "anchor_liveness": f"{_LIVE} select decision_id, anchor_kind, anchor_file, anchor_name, live from l",
+    "live_anchor_count": f"{_LIVE} select count(*) as total, coalesce(cast(sum(cast(live as bigint)) as bigint), 0) as live from l",
+    "keywords_of_decisions": f"with {_STORE} select decision_id, string_agg(keyword, '|' order by keyword) as keywords from kw group by 1",
+    "anchors_of_decisions": f"{_LIVE} select decision_id, string_agg(case when anchor_kind = 'function' then 'function ' || anchor_file || '::' || anchor_name else 'file ' || anchor_file end || case when live then ' (live)' else ' (dead)' end, '|' order by anchor_kind, anchor_file, anchor_name) as anchors from l group by 1",
+    "vocabulary_top": f"with {_STORE} select keyword, count(*) as n from kw group by 1 order by n desc, keyword limit 100",
+    "kept_children": f"with {_STORE}, s as (select id from d where session_id is not null) select (select count(*) from a where decision_id in (select id from s)) as n_anchors, (select count(*) from kw where decision_id in (select id from s)) as n_keywords",
+    "session_reads": f"{_SESSIONS} select seq, session_id, count(*) as total, cast(sum(case when rn = 1 then 1 else 0 end) as bigint) as new_cnt from x group by 1, 2",
+    "session_state": f"{_SESSIONS}, o as (select session_id, max(seq) as own from e where op in ('clear', 'end') group by 1), t as (select coalesce(max(seq), -1) as al from e where op = 'reset_all') select distinct e.session_id, pr.decision_id from e join pr on pr.file = e.file left join o on o.session_id = e.session_id cross join t where e.op = 'read' and e.seq > coalesce(own, -1) and e.seq > al",
+}
