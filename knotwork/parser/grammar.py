@@ -39,6 +39,7 @@ PARAM_MODIFIERS = frozenset(_K[w] for w in "public private protected readonly ov
 WORDS = NAME_LIKE | RESERVED_KINDS
 _NOT_NAMES = frozenset()
 _BRACKETS = re.compile(r"[(){}\[\]N$]")
+_SHIFT_ASSIGN = re.compile(f"{GLUED}{{2,3}}=")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 
 #: Statement shapes kept, and the longest one worth keeping.
@@ -725,8 +726,9 @@ class Parser:
                     self.take(",")
             self.next()
         self.take(FROM)
-        source = self.v[self.i]
+        at = self.i
         self.take(STRING)
+        source = self.v[at]
         self.import_end()
         if self.collect and not only_type:
             self.imports += [(local, imported, source[1:-1], d, n) for local, imported, d, n in found]
@@ -1210,7 +1212,7 @@ class Parser:
                 return found
         kind, text = self.conditional(with_in)
         c = self.k[self.i]
-        if c in ASSIGN or c == GLUED and self.k[self.i + 1 : self.i + 4] in (GLUED + ">=", ">="):
+        if c in ASSIGN or _SHIFT_ASSIGN.match(self.k, self.i):
             pass
         else:
             if kind == "cover" and not (head and c in (OF, IN)):

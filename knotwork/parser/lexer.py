@@ -84,11 +84,9 @@ class _Kinds(dict):
     """Kind of a token text; names seen are kept, up to a bound."""
 
     def __missing__(self, text: str) -> str:
-        c = text[0] if text else ""
+        c = text[0]
         if c in "\n\r\u2028\u2029":
             return NEWLINE
-        if text == "":
-            return ""
         if c == "/":
             return NEWLINE if len(text) > 3 else BAD
         if c in "'\"":
@@ -163,7 +161,7 @@ def _scan(src: str, pos: int, jsx: bool, out: Tokens, inside: bool) -> int:
         end = run.match(src, pos).end()
         if end > pos:
             found = _TOKEN.findall(src, pos, end)
-            if found and found[-1] == "":
+            while found and not found[-1]:  # blanks at the end of the run
                 found.pop()
             some = [lookup(t) for t in found]
             if ">" in found:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ STATE = "shown array<long>, epoch long"
 KEPT_MS = 7 * 24 * 3600 * 1000
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, forget: bool) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -35,22 +36,25 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             shown.add(d)
     if shown or epoch:
         state.update((sorted(shown), int(epoch)))
-        state.setTimeoutDuration(KEPT_MS)
+        if forget:
+            state.setTimeoutDuration(KEPT_MS)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(out, columns=["seq", "session_id", "decision_id", "is_new"])
 
 
-def shown_once(events: DataFrame, pairs: DataFrame) -> DataFrame:
+def shown_once(events: DataFrame, pairs: DataFrame, forget: bool = True) -> DataFrame:
     """seq, session_id, decision_id, is_new of a stream of events.
 
     events: seq, session_id, op, file, epoch. epoch counts the resets of all
     sessions before the event; a source has it, as no state is shared by
-    sessions. pairs: a static table of distinct (decision_id, file).
+    sessions. pairs: a static table of distinct (decision_id, file). With
+    forget, sessions idle for KEPT_MS lose their state; such a query runs until
+    it is stopped, as its clock goes on without input.
     """
     from pyspark.sql import functions as F
 
     ship(events.sparkSession)
     e = events.withColumn("session_id", F.coalesce("session_id", F.lit(DEFAULT_SESSION)))
     met = e.join(pairs, "file", "left").select("session_id", "seq", "op", "decision_id", "epoch")
-    return met.groupBy("session_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return met.groupBy("session_id").applyInPandasWithState(partial(_step, forget=forget), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
