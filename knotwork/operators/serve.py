@@ -59,10 +59,11 @@ def _within_budget(lines: Column, total: Column) -> Column:
     return F.when(F.length(whole) <= BUDGET, whole).otherwise(F.concat(F.array_join(F.slice(lines, 1, fits), "\n"), F.lit("\n"), footer))
 
 
-def render_reads(shown: DataFrame, decisions: DataFrame, anchors: DataFrame, keywords: DataFrame, prefix: str = PREFIX) -> DataFrame:
+def render_reads(counts: DataFrame, new: DataFrame, decisions: DataFrame, anchors: DataFrame, keywords: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """seq, session_id, file, text for every read that meets decisions.
 
-    shown: seq, session_id, file, decision_id, is_new. New decisions with an
+    counts: seq, session_id, file, total, new_cnt of the reads; new: seq,
+    session_id, file, decision_id of what they show first. New decisions with an
     anchor on the whole file stand once under ``file-level:``; others once under
     each of their functions there, in order of the names; the newest first.
     Nothing new gives a hint of two lines.
@@ -74,8 +75,7 @@ def render_reads(shown: DataFrame, decisions: DataFrame, anchors: DataFrame, key
     kw = keywords.groupBy("decision_id").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
     texts = decisions.select(F.col("id").alias("decision_id"), "decision", "created_at").join(kw, "decision_id", "left")
     lines = (
-        shown.where("is_new")
-        .join(places, ["decision_id", "file"])
+        new.join(places, ["decision_id", "file"])
         .join(texts, "decision_id")
         .select("seq", "session_id", F.explode(F.when(F.col("whole") == 1, F.array(F.lit(""))).otherwise(F.col("names"))).alias("place"), "created_at", "decision_id", decision_line(F.col("keywords"), F.coalesce("decision", F.lit(""))).alias("line"))
     )
@@ -83,7 +83,7 @@ def render_reads(shown: DataFrame, decisions: DataFrame, anchors: DataFrame, key
     head = F.when(F.col("place") == "", "file-level:").otherwise(F.concat(F.lit("fn "), F.col("place"), F.lit("():")))
     sections = lines.groupBy("seq", "session_id", "place").agg(newest.alias("rows")).select("seq", "session_id", "place", F.concat(F.array(head), F.transform("rows", lambda r: F.concat(F.lit("  "), r["line"]))).alias("part"))
     bodies = sections.groupBy("seq", "session_id").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("s")).select("seq", "session_id", F.flatten(F.transform("s", lambda x: x["part"])).alias("body"))
-    heads = shown.groupBy("seq", "session_id", "file").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_new").alias("fresh"))
+    heads = counts.select("seq", "session_id", "file", "total", F.col("new_cnt").alias("fresh"))
     seen = F.col("total") - F.col("fresh")
     header = F.concat(
         F.lit(f"{prefix} "), F.col("total").cast("string"), F.lit(" decisions on "), F.col("file"), F.lit(" ("), F.col("fresh").cast("string"), F.lit(" new"),

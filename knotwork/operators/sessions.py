@@ -21,28 +21,52 @@ def global_epochs(events: DataFrame) -> DataFrame:
     return base.unionByName(resets).withColumn("next_seq", F.coalesce(F.lead("first_seq").over(w), F.lit(2**62))).withColumn("epoch", F.row_number().over(w))
 
 
-def read_decisions(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """seq, session_id, file, decision_id, is_new: every decision that a read meets, new if first in its epoch.
-
-    events: seq, session_id, op (read, clear, end, reset_all), file; pairs:
-    distinct (decision_id, file). ``clear`` and ``end`` reset their session,
-    ``reset_all`` all. A null session is the default one. Only reads of files
-    with decisions are in the result.
-    """
+def _placed(events: DataFrame) -> DataFrame:
+    """seq, session_id, file, own, epoch of the reads: after how many resets of the session and of all."""
     e = events.withColumn("session_id", F.coalesce("session_id", F.lit(DEFAULT_SESSION)))
     g = global_epochs(e)
     own = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     epochs = e.withColumn("own", F.sum(F.when(F.col("op").isin("clear", "end"), 1).otherwise(0)).over(own))
     reads = epochs.where(F.col("op") == "read")
-    placed = reads.join(F.broadcast(g), (F.col("seq") >= F.col("first_seq")) & (F.col("seq") < F.col("next_seq"))).select("seq", "session_id", "file", "own", "epoch")
-    met = placed.join(pairs, "file")
-    first = met.groupBy("session_id", "own", "epoch", "decision_id").agg(F.min("seq").alias("first_seq"))
-    return met.join(first, ["session_id", "own", "epoch", "decision_id"]).select("seq", "session_id", "file", "decision_id", (F.col("seq") == F.col("first_seq")).alias("is_new"))
+    return reads.join(F.broadcast(g), (F.col("seq") >= F.col("first_seq")) & (F.col("seq") < F.col("next_seq"))).select("seq", "session_id", "file", "own", "epoch")
+
+
+def new_decisions(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq, session_id, file, decision_id: each decision with the read that shows it first in its epoch.
+
+    events: seq, session_id, op (read, clear, end, reset_all), file; pairs:
+    distinct (decision_id, file). ``clear`` and ``end`` reset their session,
+    ``reset_all`` all. A null session is the default one. Only the first read of
+    a file in an epoch can show something new, so reads are reduced to those
+    before they meet decisions.
+    """
+    placed = _placed(events)
+    return _new(placed, pairs).join(placed.select("seq", "file"), "seq").select("seq", "session_id", "file", "decision_id")
+
 
+def _new(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    first = placed.groupBy("session_id", "own", "epoch", "file").agg(F.min("seq").alias("seq"))
+    return (
+        first.join(pairs, "file")
+        .groupBy("session_id", "own", "epoch", "decision_id")
+        .agg(F.min("seq").alias("seq"))
+        .select("seq", "session_id", "decision_id")
+    )
 
-def read_summary(shown: DataFrame) -> DataFrame:
-    """seq, session_id, total, new_cnt of every read of a file with decisions."""
-    return shown.groupBy("seq", "session_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_new").alias("new_cnt"))
+
+def read_summary(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq, session_id, file, total, new_cnt of every read of a file with decisions; no read is multiplied by them."""
+    placed = _placed(events)
+    total = pairs.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
+    fresh = _new(placed, pairs).groupBy("seq").agg(F.count(F.lit(1)).alias("new_cnt"))
+    return placed.join(total, "file").join(fresh, "seq", "left").select("seq", "session_id", "file", "total", F.coalesce("new_cnt", F.lit(0)).alias("new_cnt"))
+
+
+def read_decisions(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq, session_id, file, decision_id, is_new: every decision that a read meets."""
+    placed = _placed(events)
+    new = _new(placed, pairs).select("seq", "decision_id", F.lit(True).alias("is_new"))
+    return placed.join(pairs, "file").join(new, ["seq", "decision_id"], "left").select("seq", "session_id", "file", "decision_id", F.coalesce("is_new", F.lit(False)).alias("is_new"))
 
 
 def final_state(events: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -99,5 +99,6 @@ ORACLES |= {
     "vocabulary_top": f"with {_STORE} select keyword, count(*) as n from kw group by 1 order by n desc, keyword limit 100",
     "kept_children": f"with {_STORE}, s as (select id from d where session_id is not null) select (select count(*) from a where decision_id in (select id from s)) as n_anchors, (select count(*) from kw where decision_id in (select id from s)) as n_keywords",
     "session_reads": f"{_SESSIONS} select seq, session_id, count(*) as total, cast(sum(case when rn = 1 then 1 else 0 end) as bigint) as new_cnt from x group by 1, 2",
+    "session_new_decisions": f"{_SESSIONS} select seq, session_id, decision_id from x where rn = 1",
     "session_state": f"{_SESSIONS}, o as (select session_id, max(seq) as own from e where op in ('clear', 'end') group by 1), t as (select coalesce(max(seq), -1) as al from e where op = 'reset_all') select distinct e.session_id, pr.decision_id from e join pr on pr.file = e.file left join o on o.session_id = e.session_id cross join t where e.op = 'read' and e.seq > coalesce(own, -1) and e.seq > al",
 }

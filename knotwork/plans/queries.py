@@ -284,13 +284,14 @@ def _g_pairs(spark, d) -> DataFrame:
     return _g(spark, d, "g_anchors").select("decision_id", F.col("anchor_file").alias("file")).distinct()
 
 
-def _g_shown(spark, d) -> DataFrame:
-    return S.read_decisions(_g(spark, d, "g_events"), _g_pairs(spark, d))
+@_query
+def session_reads(spark, d):
+    return S.read_summary(_g(spark, d, "g_events"), _g_pairs(spark, d)).select("seq", "session_id", "total", "new_cnt")
 
 
 @_query
-def session_reads(spark, d):
-    return S.read_summary(_g_shown(spark, d))
+def session_new_decisions(spark, d):
+    return S.new_decisions(_g(spark, d, "g_events"), _g_pairs(spark, d)).select("seq", "session_id", "decision_id")
 
 
 @_query
@@ -300,7 +301,8 @@ def session_state(spark, d):
 
 @_query
 def read_texts(spark, d):
-    return serve.render_reads(_g_shown(spark, d), _g(spark, d, "g_decisions"), _g(spark, d, "g_anchors"), _g(spark, d, "g_keywords"))
+    events, pairs = _g(spark, d, "g_events"), _g_pairs(spark, d)
+    return serve.render_reads(S.read_summary(events, pairs), S.new_decisions(events, pairs), _g(spark, d, "g_decisions"), _g(spark, d, "g_anchors"), _g(spark, d, "g_keywords"))
 
 
 @_query

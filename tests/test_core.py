@@ -209,6 +209,12 @@ def test_shown_once(spark, event_log):
     p = spark.createDataFrame(pairs, "decision_id long, file string")
     want, state = simulate(events, pairs)
     assert rows(S.read_decisions(e, p), "seq", "session_id", "decision_id", "is_new") == sorted(want, key=repr)
+    assert rows(S.new_decisions(e, p), "seq", "session_id", "decision_id") == sorted((x[:3] for x in want if x[3]), key=repr)
+    counts = {}
+    for seq, _, _, new in want:
+        a, b = counts.get(seq, (0, 0))
+        counts[seq] = (a + 1, b + new)
+    assert {r["seq"]: (r["total"], r["new_cnt"]) for r in S.read_summary(e, p).collect()} == counts
     assert rows(S.final_state(e, p), "session_id", "decision_id") == sorted(((s, d) for s, ds in state.items() for d in ds), key=repr)
     assert S.read_decisions(e.where("false"), p).count() == 0
 
@@ -241,18 +247,22 @@ def test_state_collection(spark):
     assert rows(S.collected_sessions(states, ended, now), "session_id") == [("fresh",), ("week",)]
 
 
+def counted(shown):
+    return shown.groupBy("seq", "session_id", "file").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_new").alias("new_cnt"))
+
+
 def test_render(spark):
     shown = spark.createDataFrame([(1, "s", "a.ts", 1, True), (1, "s", "a.ts", 2, True), (1, "s", "a.ts", 3, False), (2, "s", "a.ts", 1, False)], "seq long, session_id string, file string, decision_id long, is_new boolean")
     decisions = spark.createDataFrame([(1, "whole", "2025"), (2, "parts", "2024"), (3, "seen", "2023")], "id long, decision string, created_at string")
     anchors = spark.createDataFrame([(1, "file", "a.ts", ""), (1, "function", "a.ts", "g"), (2, "function", "a.ts", "g"), (2, "function", "a.ts", "f"), (3, "file", "a.ts", "")], "decision_id long, anchor_kind string, anchor_file string, anchor_name string")
     keywords = spark.createDataFrame([(1, "k"), (2, "b"), (2, "a")], "decision_id long, keyword string")
-    got = {r["seq"]: r["text"] for r in serve.render_reads(shown, decisions, anchors, keywords).collect()}
+    got = {r["seq"]: r["text"] for r in serve.render_reads(counted(shown), shown.where("is_new"), decisions, anchors, keywords).collect()}
     assert got[1].split("\n") == ["[decisions] 3 decisions on a.ts (2 new, 1 shown earlier)", "", "NEW:", "file-level:", "  [k] whole", "fn f():", "  [a, b] parts", "fn g():", "  [a, b] parts", "", "(1 decision on this file already shown earlier this session.", "If your context was compacted, reset the decision cache.)"]
     assert got[2].startswith("[decisions] 1 decisions on a.ts shown earlier this session.\n")
     many = spark.createDataFrame([(9, "s", "b.ts", i, True) for i in range(60)], "seq long, session_id string, file string, decision_id long, is_new boolean")
     long = spark.createDataFrame([(i, "x" * 300, "2025") for i in range(60)], "id long, decision string, created_at string")
     on = spark.createDataFrame([(i, "file", "b.ts", "") for i in range(60)], "decision_id long, anchor_kind string, anchor_file string, anchor_name string")
-    text = serve.render_reads(many, long, on, keywords.where("false")).first()["text"]
+    text = serve.render_reads(counted(many), many, long, on, keywords.where("false")).first()["text"]
     assert len(text) <= 8200 and "additional lines truncated; 60 decisions total" in text
 
 
