@@ -108,7 +108,8 @@ def pair_lift(df: DataFrame, record: str, item: str, least_together: int = 5, li
         .select("record", "term", "n_item")
     )
     # long records are split, so that no task holds all items of one
-    sized = light.withColumn("parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("record")) / PART))
+    long = light.groupBy("record").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).where("parts > 1")
+    sized = light.join(long, "record", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     packed = (
         sized.withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")))
         .groupBy("record", "parts", "part")
