@@ -1716,14 +1716,14 @@ def grammar_of(file: str) -> str | None:
     return _OF_EXTENSION.get(file[dot:].lower()) if dot >= 0 else None
 
 
-_HINT_JSX = re.compile(r"</[A-Za-z>]|/>")
-_HINT_TYPE = re.compile(r"\b(?:interface|enum|implements|readonly|declare|namespace|satisfies)\s+\w|[\w)\]?]\s*:\s*(?:string|number|boolean|any|unknown|void|never)\b|\bas\s+(?:const|any|unknown|string|number)\b|\bimport\s+type\b")
+_TYPES = "".join(_K[w] for w in "any bigint boolean never number object string symbol undefined unknown void".split())
+_HINT = re.compile(f"[a)\\]?]:[{_TYPES}]|[{INTERFACE}{ENUM}{NAMESPACE}{DECLARE}{IMPLEMENTS}{TYPE}{SATISFIES}][a{{]|{AS}[{_TYPES}{CONST}]")
 
 
-def ranked(src: str) -> list[str]:
-    """The grammars, the likeliest by the tokens first."""
-    jsx, typed = bool(_HINT_JSX.search(src)), bool(_HINT_TYPE.search(src))
-    return sorted(GRAMMARS, key=lambda g: ((GRAMMARS[g][0] != typed) + (GRAMMARS[g][1] != jsx), g))
+def ranked(tokens: Tokens) -> list[str]:
+    """The grammars, the likeliest by the kinds of the tokens first."""
+    typed = bool(_HINT.search(tokens.kinds))
+    return sorted(GRAMMARS, key=lambda g: ((GRAMMARS[g][0] != typed) + (GRAMMARS[g][1] != tokens.jsx), g))
 
 
 def syntax_of(src: str, own: str) -> tuple[bool, list[str]]:
@@ -1736,7 +1736,7 @@ def syntax_of(src: str, own: str) -> tuple[bool, list[str]]:
     with_jsx = tokenise(src, True)
     cut = {True: with_jsx, False: tokenise(src, False) if with_jsx.jsx or with_jsx.bad else with_jsx}
     done: dict[str, bool] = {}
-    for g in ranked(src):
+    for g in ranked(with_jsx):
         if g in done:
             continue
         ts, jsx = GRAMMARS[g]
