@@ -34,7 +34,11 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_knotwork_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    folder = Path(tempfile.mkdtemp(prefix="knotwork-"))
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    inside = shared if shared.startswith("/") else None
+    if inside:
+        os.makedirs(inside, exist_ok=True)
+    folder = Path(tempfile.mkdtemp(prefix="knotwork-", dir=inside))
     with zipfile.ZipFile(folder / "knotwork.zip", "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"knotwork/{f.relative_to(root)}")
@@ -53,11 +57,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only a session that
     names none (a local one, as in tests) gets a temporary folder.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="knotwork-", dir=os.environ.get("TMPDIR")))
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="knotwork-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager)
 
 
