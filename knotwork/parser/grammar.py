@@ -9,6 +9,7 @@ again it is skipped. The memory is bounded and never changes a result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from knotwork.parser.lexer import (
     CHILD, CONTEXTUAL_KINDS, END, GLUED, JSX, KIND, NAME, NAME_LIKE, NEWLINE, NUMBER, PRIVATE, REGEX, RESERVED_KINDS, SPREAD_IN, STRING, TEMPLATE, Broken, Tokens, tokenise,
@@ -63,6 +64,7 @@ class Parser:
         self.imports: list[tuple] = []
         self.match: dict[int, int] = {}
         self.lines: dict[int, int] = {}
+        self.tops: list[int] = []
         self.depth = 0
         if tokens.paired is None:
             self._pair()
@@ -70,25 +72,44 @@ class Parser:
         self.match, self.lines = tokens.paired
 
     def _pair(self) -> None:
-        """Brackets by place, and logical lines: start to end at the same depth."""
+        """Brackets by place, and logical lines: start to end at the same depth.
+
+        When collecting, an unclosed bracket ends with the one around it or with
+        the text, and one that closes nothing is passed over; tops has the line
+        starts outside brackets.
+        """
         k, match, lines = self.k, self.match, self.lines
         opened: list[int] = []
+        held = dict.fromkeys("([{", 0)
         starts = [self.i]
         for m in _BRACKETS.finditer(k):
             c, at = m.group(), m.start()
             if c == NEWLINE:
                 lines[starts[-1]] = at
                 starts[-1] = at + 1
+                if not opened:
+                    self.tops.append(at + 1)
             elif c in "([{":
                 opened.append(at)
+                held[c] += 1
                 starts.append(at + 2 if k[at + 1] == NEWLINE else at + 1)
             elif c != END:
                 if not opened or k[opened[-1]] != _CLOSES[c]:
-                    raise Broken
+                    if not self.collect:
+                        raise Broken
+                    if not held[_CLOSES[c]]:
+                        continue
+                    while k[opened[-1]] != _CLOSES[c]:
+                        held[k[opened[-1]]] -= 1
+                        match[opened.pop()] = at - 1
+                        lines.setdefault(starts.pop(), at)
+                held[_CLOSES[c]] -= 1
                 match[opened.pop()] = at
                 lines.setdefault(starts.pop(), at)
         if opened:
-            raise Broken
+            if not self.collect:
+                raise Broken
+            match.update(dict.fromkeys(opened, len(k) - 2))
         lines.setdefault(starts[-1], len(k) - 1)
 
     # -- moving
@@ -159,6 +180,25 @@ class Parser:
     def program(self) -> None:
         self.statements(TOP, END)
 
+    def sound_statements(self) -> bool:
+        """The program without the statements that have errors; after one it goes on at the next line outside brackets."""
+        k, tops, sound = self.k, self.tops, True
+        while k[self.i] != END:
+            at, n = self.i, len(self.calls)
+            try:
+                if k[at] == "}":
+                    raise Broken
+                self.statement(TOP)
+            except (Broken, RecursionError, IndexError):
+                sound = False
+                del self.calls[n:]
+                self.no_conditional = False
+                j = bisect_right(tops, max(at, self.i))
+                if j == len(tops):
+                    break
+                self.i = tops[j]
+        return sound
+
     def statements(self, ctx: int, end: str) -> None:
         k, lines, collect = self.k, self.lines, self.collect
         while True:
@@ -1750,22 +1790,15 @@ def syntax_of(src: str, own: str) -> tuple[bool, list[str]]:
 def extract(src: str, grammar: str) -> dict:
     """Top-level functions with their calls, imports, and whether the text had errors.
 
-    A text with errors keeps what stood before the first one.
+    A text with errors keeps the statements that have none: those before the
+    first error, and those from the next line on that is outside brackets.
     """
     ts, jsx = GRAMMARS[grammar]
     tokens = tokenise(src, jsx, places=True)
-    functions: list[tuple] = []
-    imports: list[tuple] = []
-    errors = tokens.bad
-    try:
-        p = Parser(tokens, ts, True)
-        functions, imports = p.functions, p.imports
-        p.program()
-    except (Broken, RecursionError):
-        errors = True
+    p = Parser(tokens, ts, True)
+    errors = not p.sound_statements() or tokens.bad
+    functions, imports = p.functions, p.imports
     ends = [m.start() for m in re.finditer("\n", src)]
-    from bisect import bisect_left
-
     starts = tokens.starts
 
     def row(at: int) -> int:

@@ -87,6 +87,25 @@ def test_broken_source_keeps_what_stood_before():
     assert isinstance(got["functions"], list) and isinstance(got["imports"], list)
 
 
+@pytest.mark.parametrize(
+    "src, names, modules",
+    [
+        ("import a from './a'\nfunction ok() {\n a()\n}\nconst p = () => b()\nfunction cut() {\n if (x) {\n", ["ok", "p"], ["./a"]),  # cut off
+        ("function ok() { a() }\nfunction broken( {", ["ok"], []),
+        ("function ok() { a() }\n}\nimport b from './b'\nfunction more() { b() }", ["ok", "more"], ["./b"]),  # closes nothing
+        ("function ok() { a() }\nfunction bad() {\n f(1\n}\nfunction more() { b() }\n", ["ok", "more"], []),  # unclosed within
+        ("function ok() { a() }\n<<<<<<< HEAD\nfunction l() {}\n=======\nfunction r() {}\n>>>>>>> x\nfunction more() {}", ["ok", "l", "r", "more"], []),
+        ("function ok() {}\nlet t: (a: (b\n", ["ok"], []),
+        ("function ok() {}\nlet t = `a ${b(", ["ok"], []),
+    ],
+)
+def test_errors_keep_sound_statements(src, names, modules):
+    got = extract(src, "typescript")
+    assert got["had_parse_errors"]
+    assert [f["name"] for f in got["functions"]] == names
+    assert [i["module_specifier"] for i in got["imports"]] == modules
+
+
 VALID = {
     "javascript": [
         "", "// only", "/* x */\n", "﻿const a = 1", "#!/usr/bin/env node\nlet a", "let a = 1\nlet b = a\n++b", "for (const [a, b] of c) d(a)", "for (let i = 0, n = 3; i < n; i++);",
