@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: the session of events that name none.
 DEFAULT_SESSION = "_default"
+#: First reads and pairs that meet in one task at most, about; where decisions are listed, and where they are only counted.
+LISTED, COUNTED = (10_000, 5_000), (50_000, 25_000)
 
 
 def global_epochs(events: DataFrame) -> DataFrame:
@@ -40,25 +46,61 @@ def new_decisions(events: DataFrame, pairs: DataFrame) -> DataFrame:
     a file in an epoch can show something new, so reads are reduced to those
     before they meet decisions.
     """
-    placed = _placed(events)
-    return _new(placed, pairs).join(placed.select("seq", "file"), "seq").select("seq", "session_id", "file", "decision_id")
+    return _new(_placed(events), pairs)
 
 
-def _new(placed: DataFrame, pairs: DataFrame) -> DataFrame:
-    first = placed.groupBy("session_id", "own", "epoch", "file").agg(F.min("seq").alias("seq"))
-    return (
-        first.join(pairs, "file")
-        .groupBy("session_id", "own", "epoch", "decision_id")
-        .agg(F.min("seq").alias("seq"))
-        .select("seq", "session_id", "decision_id")
-    )
+def _new(placed: DataFrame, pairs: DataFrame, count: bool = False) -> DataFrame:
+    """new_decisions; or with count seq and new_cnt, where it isn't 0.
+
+    First reads meet decisions in blocks, each of some epochs and of some
+    decisions, so that neither side is held whole; nothing that is shown
+    already leaves its block.
+    """
+    first = placed.where(F.col("file").isNotNull()).groupBy("session_id", "own", "epoch", "file").agg(F.min("seq").alias("seq"))
+    pairs = pairs.where(F.col("file").isNotNull()).select("decision_id", "file")
+    n_reads, n_pairs = COUNTED if count else LISTED
+    across, down = (max(1, math.ceil(df.count() / n)) for df, n in ((first, n_reads), (pairs, n_pairs)))
+    left = first.withColumn("i", F.pmod(F.xxhash64("session_id", "own", "epoch"), F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    right = pairs.withColumn("j", F.pmod(F.xxhash64("decision_id"), F.lit(down))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    kind = {f.name: f.dataType.simpleString() for f in [*first.schema, *pairs.schema]}
+    schema = f"seq {kind['seq']}, new_cnt long" if count else f"seq {kind['seq']}, session_id {kind['session_id']}, file {kind['file']}, decision_id {kind['decision_id']}"
+
+    def run(reads: pa.Table, pairs: pa.Table) -> pa.Table:
+        reads = reads.sort_by([(c, "ascending") for c in ("session_id", "own", "epoch", "seq")])
+        ids = pairs.column("decision_id").combine_chunks().dictionary_encode("encode")
+        codes = ids.indices.to_numpy(zero_copy_only=False)
+        files = pairs.column("file").combine_chunks().dictionary_encode()
+        places = files.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(places, kind="stable")
+        cuts = np.searchsorted(places[order], np.arange(len(files.dictionary) + 1))
+        of = {f: np.unique(codes[order[cuts[n] : cuts[n + 1]]]) for n, f in enumerate(files.dictionary.to_pylist())}
+        shown = np.zeros(len(ids.dictionary), np.int64)
+        epoch, before, at, some = 0, None, [], []
+        for n, (session, own, all_, f) in enumerate(zip(*(reads.column(c).to_pylist() for c in ("session_id", "own", "epoch", "file")))):
+            if (session, own, all_) != before:
+                before, epoch = (session, own, all_), epoch + 1
+            mine = of.get(f)
+            if mine is None:
+                continue
+            new = mine[shown[mine] != epoch]
+            if len(new):
+                shown[new] = epoch
+                at.append(n)
+                some.append(len(new) if count else new)
+        if count:
+            return pa.table({"seq": reads.column("seq").take(pa.array(at, pa.int64())), "new_cnt": pa.array(some, pa.int64())})
+        rows = reads.select(["seq", "session_id", "file"]).take(pa.array(np.repeat(np.array(at, np.int64), [len(x) for x in some])))
+        return rows.append_column("decision_id", ids.dictionary.take(pa.array(np.concatenate(some) if some else np.zeros(0, np.int64))))
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
+    return met.groupBy("seq").agg(F.sum("new_cnt").alias("new_cnt")) if count else met
 
 
 def read_summary(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """seq, session_id, file, total, new_cnt of every read of a file with decisions; no read is multiplied by them."""
     placed = _placed(events)
     total = pairs.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
-    fresh = _new(placed, pairs).groupBy("seq").agg(F.count(F.lit(1)).alias("new_cnt"))
+    fresh = _new(placed, pairs, count=True)
     return placed.join(total, "file").join(fresh, "seq", "left").select("seq", "session_id", "file", "total", F.coalesce("new_cnt", F.lit(0)).alias("new_cnt"))
 
 

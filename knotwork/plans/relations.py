@@ -19,9 +19,9 @@ GRAPH_SQL = {
  case when l.l_returnflag = 'R' then concat('obj.', replace(b.p_name, ' ', '_')) else replace(b.p_name, ' ', '_') end as callee
  from {lineitem} l join {part} a on a.p_partkey = l.l_partkey join {supplier} z on z.s_suppkey = l.l_suppkey join {part} b on b.p_partkey = z.s_suppkey""",
     "g_anchors": """select distinct l.l_orderkey as decision_id, case when l_linestatus = 'F' then 'function' else 'file' end as anchor_kind, case when l_returnflag = 'A' and l_suppkey % 3 = 0 then 'src/missing.ts' else concat('src/', lower(replace(p.p_brand, '#', '')), '.ts') end as anchor_file,
- case when l_linestatus <> 'F' then '' when l_returnflag = 'A' then concat('ghost_', replace(p.p_name, ' ', '_')) else replace(p.p_name, ' ', '_') end as anchor_name from {lineitem} l join {part} p on p.p_partkey = l.l_partkey where l_orderkey % 100 = 0""",
-    "g_decisions": "select cast(o_orderkey as bigint) as id, concat('alert ', cast(o_orderkey as string), ' ', o_orderpriority) as decision, case when o_custkey % 3 = 0 then null else concat('s', cast(o_custkey % 50 as string)) end as session_id, concat(cast(cast(o_orderdate as date) as string), 'T00:00:00.000Z') as created_at from {orders} where o_orderkey % 100 = 0",
-    "g_keywords": "select o_orderkey as decision_id, lower(c_mktsegment) as keyword from {orders} join {customer} on c_custkey = o_custkey where o_orderkey % 100 = 0 union select o_orderkey, lower(replace(substr(o_orderpriority, 3), ' ', '-')) from {orders} where o_orderkey % 100 = 0",
+ case when l_linestatus <> 'F' then '' when l_returnflag = 'A' then concat('ghost_', replace(p.p_name, ' ', '_')) else replace(p.p_name, ' ', '_') end as anchor_name from {lineitem} l join {part} p on p.p_partkey = l.l_partkey""",
+    "g_decisions": "select cast(o_orderkey as bigint) as id, concat('alert ', cast(o_orderkey as string), ' ', o_orderpriority) as decision, case when o_custkey % 3 = 0 then null else concat('s', cast(o_custkey % 50 as string)) end as session_id, concat(cast(cast(o_orderdate as date) as string), 'T00:00:00.000Z') as created_at from {orders}",
+    "g_keywords": "select o_orderkey as decision_id, lower(c_mktsegment) as keyword from {orders} join {customer} on c_custkey = o_custkey union select o_orderkey, lower(replace(substr(o_orderpriority, 3), ' ', '-')) from {orders}",
     "g_events": "select event_id as seq, concat('s', cast(user_id % 50 as string)) as session_id, case when event_type = 'error' then 'clear' when event_type = 'signup' then 'end' when event_type = 'purchase' and event_id % 500 < 5 then 'reset_all' else 'read' end as op, concat('src/brand', cast(event_id % 25 + 1 as string), '.ts') as file from {events}",
 }
 

@@ -219,6 +219,39 @@ def test_shown_once(spark, event_log):
     assert S.read_decisions(e.where("false"), p).count() == 0
 
 
+def test_sessions_meet_all_decisions(spark, tmp_path, monkeypatch):
+    from knotwork.plans.queries import QUERIES
+    from knotwork.plans.relations import graph_relation
+
+    monkeypatch.setattr(S, "LISTED", (20, 30))
+    monkeypatch.setattr(S, "COUNTED", (50, 20))
+    r = random.Random(5)
+    tables = {
+        "part": ([(p, f"Brand#{p % 5 + 1}", f"part {p % 9}") for p in range(40)], "p_partkey long, p_brand string, p_name string"),
+        "orders": ([(o, o % 11, dt.datetime(2025, 1, o % 28 + 1), "1-URGENT") for o in range(1, 130)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "customer": ([(c, "BUILDING") for c in range(11)], "c_custkey long, c_mktsegment string"),
+        "lineitem": ([(o, r.randrange(40), r.randrange(9), r.choice("AR"), r.choice("FO")) for o in range(1, 130) for _ in range(r.randrange(4))], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"),
+        "events": ([(e, r.randrange(4), r.choices(["view", "error", "signup", "purchase"], [20, 1, 1, 1])[0]) for e in range(300)], "event_id long, user_id long, event_type string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    brand = {p: f"src/brand{p % 5 + 1}.ts" for p in range(40)}
+    pairs = sorted({(o, "src/missing.ts" if flag == "A" and s % 3 == 0 else brand[p]) for o, p, s, flag, _ in tables["lineitem"][0]})
+    events = [tuple(x) for x in graph_relation(spark, d, "g_events").select("seq", "session_id", "op", "file").collect()]
+    want, state = simulate(events, pairs)
+    counts = {}
+    for seq, session, _, new in want:
+        a, b = counts.get((seq, session), (0, 0))
+        counts[seq, session] = (a + 1, b + new)
+    assert rows(QUERIES["session_reads"](spark, d), "seq", "session_id", "total", "new_cnt") == sorted(((*k, *v) for k, v in counts.items()), key=repr)
+    assert rows(QUERIES["session_new_decisions"](spark, d), "seq", "session_id", "decision_id") == sorted((x[:3] for x in want if x[3]), key=repr)
+    assert rows(QUERIES["session_state"](spark, d), "session_id", "decision_id") == sorted(((s, x) for s, xs in state.items() for x in xs), key=repr)
+    texts = {x["seq"]: x["text"] for x in QUERIES["read_texts"](spark, d).collect()}
+    assert set(texts) == {seq for seq, _ in counts} and all(f"] {n} decisions on " in texts[seq] for (seq, _), (n, _) in counts.items())
+    assert QUERIES["hook_replies"](spark, d).count() == len(texts)
+
+
 def test_shown_once_on_a_stream(spark, event_log, tmp_path):
     from knotwork.streaming.sessions import shown_once
 
