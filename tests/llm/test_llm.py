@@ -66,6 +66,21 @@ def test_near_duplicates(spark, texts, monkeypatch, seldom, hot, leaf, levels):
     assert got == sorted(brute_pairs(texts), key=repr)
 
 
+def test_near_duplicates_of_unlike_sizes(spark, monkeypatch):
+    """Pairs with no more than the needed words in common, all of them frequent, and otherwise words of their own."""
+    monkeypatch.setattr(neardup, "SELDOM", 1)
+    texts, want = {}, []
+    for n in range(2, 46):
+        for m in range(n, int(n / 0.6 + 1e-9) + 1):
+            i = len(texts)
+            both = next(k for k in range(n + 1) if k >= 0.6 * (n + m - k) - 1e-9)
+            shared = [f"s{i}x{k}" for k in range(both)]
+            texts[i], texts[i + 1] = (" ".join(shared + [f"u{j}x{k}" for k in range(size - both)]) for j, size in ((i, n), (i + 1, m)))
+            want.append((i, i + 1))
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    assert sorted(rows(neardup.near_duplicate_pairs(df, "id", "text"), "id_a", "id_b")) == want
+
+
 def test_near_duplicate_classes(spark, texts):
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
     got = neardup.near_duplicate_classes(df, "id", "text").collect()
