@@ -9,7 +9,9 @@ again it is skipped. The memory is bounded and never changes a result.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left, bisect_right
+from functools import wraps
 
 from knotwork.parser.lexer import (
     CHILD, CONTEXTUAL_KINDS, END, GLUED, JSX, KIND, NAME, NAME_LIKE, NEWLINE, NUMBER, PRIVATE, REGEX, RESERVED_KINDS, SPREAD_IN, STRING, TEMPLATE, Broken, Tokens, tokenise,
@@ -65,7 +67,6 @@ class Parser:
         self.match: dict[int, int] = {}
         self.lines: dict[int, int] = {}
         self.tops: list[int] = []
-        self.depth = 0
         if tokens.paired is None:
             self._pair()
             tokens.paired = self.match, self.lines
@@ -189,7 +190,7 @@ class Parser:
                 if k[at] == "}":
                     raise Broken
                 self.statement(TOP)
-            except (Broken, RecursionError, IndexError):
+            except (Broken, IndexError):
                 sound = False
                 del self.calls[n:]
                 self.no_conditional = False
@@ -235,15 +236,6 @@ class Parser:
         self.next()
 
     def statement(self, ctx: int, alone: bool = False) -> None:
-        self.depth += 1
-        if self.depth > 150:
-            raise RecursionError
-        try:
-            self._statement(ctx, alone)
-        finally:
-            self.depth -= 1
-
-    def _statement(self, ctx: int, alone: bool) -> None:
         c = self.k[self.i]
         rule = _STATEMENTS.get(c)
         if rule is not None:
@@ -997,15 +989,6 @@ class Parser:
         self.close_angle()
 
     def type(self) -> None:
-        self.depth += 1
-        if self.depth > 150:
-            raise RecursionError
-        try:
-            self._type_rule()
-        finally:
-            self.depth -= 1
-
-    def _type_rule(self) -> None:
         c = self.k[self.i]
         if c == "<" or c == NEW or c == ABSTRACT and self.peek() == NEW:
             self.eat(ABSTRACT)
@@ -1213,15 +1196,6 @@ class Parser:
             self.assign()
 
     def assign(self, with_in: bool = True, head: bool = False):
-        self.depth += 1
-        if self.depth > 150:
-            raise RecursionError
-        try:
-            return self._assign(with_in, head)
-        finally:
-            self.depth -= 1
-
-    def _assign(self, with_in: bool, head: bool):
         c = self.k[self.i]
         if c in NAME_LIKE:
             p = self.peek()
@@ -1289,7 +1263,7 @@ class Parser:
                 return None
         elif self.k[i] == "<" and not self.ts:
             return None
-        return self.attempt(self._arrow, with_in)
+        return self.attempt(Parser._arrow, self, with_in)
 
     def _arrow(self, with_in: bool):
         self.type_parameters()
@@ -1493,7 +1467,7 @@ class Parser:
                 self.next()
                 found = ("mem" if found[0] in ("id", "mem", "opt") else "other", None)
             elif c == "<" and self.ts:
-                if not self.attempt(self.call_types):
+                if not self.attempt(Parser.call_types, self):
                     return found
                 if self.k[self.i] not in ("(", TEMPLATE):
                     found = OTHER
@@ -1706,10 +1680,34 @@ _STATEMENTS = {
 
 
 def _all_parts(tokens: Tokens):
-    for parts in tokens.inner.values():
-        for p in parts:
-            yield p
-            yield from _all_parts(p)
+    waiting = [tokens]
+    while waiting:
+        for parts in waiting.pop().inner.values():
+            yield from parts
+            waiting += parts
+
+
+def _roomy(f):
+    """f, and again without a limit of depth where the ordinary one is too small.
+
+    The rules call each other as plain functions, which take memory but no
+    stack of C: ``attempt`` gets functions, not bound methods, for that reason.
+    """
+
+    @wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        except RecursionError:
+            pass
+        held = sys.getrecursionlimit()
+        sys.setrecursionlimit(2**31 - 1)
+        try:
+            return f(*args)
+        finally:
+            sys.setrecursionlimit(held)
+
+    return run
 
 
 def _parses(tokens: Tokens, ts: bool) -> tuple[bool, bool]:
@@ -1731,20 +1729,10 @@ def _parses(tokens: Tokens, ts: bool) -> tuple[bool, bool]:
             typed |= bool(found)
     except Broken:
         return False, False
-    except RecursionError:
-        return _deep(tokens, ts)
     return True, typed
 
 
-def _deep(tokens: Tokens, ts: bool) -> tuple[bool, bool]:
-    """Nested too deeply for the stack of the parser: judged by its tokens and brackets alone."""
-    try:
-        Parser(tokens, ts)
-    except Broken:
-        return False, False
-    return True, ts
-
-
+@_roomy
 def valid(src: str, grammar: str) -> bool:
     ts, jsx = GRAMMARS[grammar]
     return _parses(tokenise(src, jsx), ts)[0]
@@ -1766,6 +1754,7 @@ def ranked(tokens: Tokens) -> list[str]:
     return sorted(GRAMMARS, key=lambda g: ((GRAMMARS[g][0] != typed) + (GRAMMARS[g][1] != tokens.jsx), g))
 
 
+@_roomy
 def syntax_of(src: str, own: str) -> tuple[bool, list[str]]:
     """Whether the text is valid in its own grammar, and all grammars in which it is.
 
@@ -1787,6 +1776,7 @@ def syntax_of(src: str, own: str) -> tuple[bool, list[str]]:
     return done[own], [g for g in GRAMMARS if done[g]]
 
 
+@_roomy
 def extract(src: str, grammar: str) -> dict:
     """Top-level functions with their calls, imports, and whether the text had errors.
 

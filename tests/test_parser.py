@@ -158,3 +158,36 @@ def test_foreign_grammars():
 def test_deep_and_long_texts():
     assert valid("x = " + "(" * 400 + "1" + ")" * 400, "javascript") in (True, False)
     assert valid("a();\n" * 200_000, "javascript")
+
+
+N = 400
+DEEP = {
+    "brackets": "x = " + "(" * N + "1" + ")" * N,
+    "literals": "x = " + "[{ a: " * N + "1" + "}]" * N,
+    "else-if": "if (a) b()\n" + "else if (a) b()\n" * N,
+    "ternary": "x = " + "a ? b : " * N + "c",
+    "blocks": "{" * N + "}" * N,
+    "functions": "x = " + "(a) => { return " * N + "1" + "}" * N,
+    "templates": "x = " + "`${" * N + "1" + "}`" * N,
+}
+
+
+@pytest.mark.parametrize("deep", DEEP.values(), ids=DEEP)
+def test_deep_texts_are_parsed(deep):
+    assert syntax_of(deep, "javascript") == (True, list(GRAMMARS))
+    for fault in ("a b", "<<<<<<< HEAD", "x = (1 2)"):
+        assert not valid(f"{deep}\n{fault}\n", "javascript")
+        assert syntax_of(f"{deep}\n{fault}\n", "javascript") == (False, [])
+    assert syntax_of(f"{deep}\nlet y: string = z", "javascript") == (False, ["typescript", "tsx"])
+    got = extract(f"{deep}\nfunction f() {{ g() }}", "typescript")
+    assert [f["name"] for f in got["functions"]] == ["f"] and not got["had_parse_errors"]
+
+
+def test_deep_types_and_elements():
+    deep = "type A = " + "Array<[" * N + "B" + "]>" * N
+    assert syntax_of(deep, "javascript") == (False, ["typescript", "tsx"])
+    assert not valid(deep + "\na b", "typescript")
+    deep = "x = " + "<a>{" * N + "1" + "}</a>" * N
+    assert syntax_of(deep, "javascript") == (False, ["tsx", "jsx"])
+    assert syntax_of(deep + "\na b", "jsx") == (False, [])
+    assert valid("x = " + "(" * 20_000 + "1" + ")" * 20_000, "typescript")
