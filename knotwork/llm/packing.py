@@ -3,8 +3,10 @@
 The packing is computed on the histogram of sizes: at most as many distinct
 sizes as the capacity, whatever the number of items. First the dominance
 reduction of Martello and Toth fixes containers that no other choice can beat
-(an item alone, or an item with the largest one beside it, where no two smaller
-ones could use the room better), many at a time, until none is left to fix. The
+(an item alone, an item with the largest one beside it, where no two smaller
+ones could use the room better, or an item with the largest two, where no three
+fit and no two could use the room otherwise), many at a time, until none is
+left to fix. The
 shrunken instance is packed best-fit in decreasing order, again whole classes
 of equal containers at a time. The result is a list of events: items of one
 size with ranks in a range go to containers in a range. Items get their rank
@@ -14,6 +16,7 @@ within their size in the cluster and are matched with the events.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,16 +52,30 @@ class _Sizes:
             i -= 1
         return self.order[i] if i >= 0 else 0
 
-    def two_smallest(self, beside: int) -> int:
-        """The least sum of two items other than one of ``beside``; 0 if there are no two."""
+    def smallest(self, many: int, beside: int) -> int:
+        """The least sum of so many items other than one of ``beside``; 0 if there are not so many."""
         found: list[int] = []
         for s in self.order:
             n = self.left[s] - (s == beside)
-            found += [s] * min(n, 2)
-            if len(found) >= 2:
-                return found[0] + found[1]
+            found += [s] * min(n, many)
+            if len(found) >= many:
+                return sum(found[:many])
         return 0
 
+    def pairs(self, room: int, beside: int):
+        """(larger, smaller) of two items that fit the room together, other than one of ``beside``: for each smaller one the largest."""
+        fit = [s for s in self.order[: bisect_right(self.order, room)] if self.left[s] > (s == beside)]
+        top = len(fit) - 1
+        for i, y in enumerate(fit):
+            while top > i and fit[top] + y > room:
+                top -= 1
+            if top > i:
+                yield fit[top], y
+            elif 2 * y <= room and self.left[y] - (y == beside) > 1:
+                yield y, y
+            else:
+                return
+
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int, int]:
     """(events, containers, containers fixed by dominance) for sizes from 1 to capacity.
@@ -85,9 +102,25 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int, int]:
                     used += n
                     changed = True
                     continue
-                two = sizes.two_smallest(s)
+                two = sizes.smallest(2, s)
                 if k != room and two and two <= room:
-                    break
+                    three = sizes.smallest(3, s)
+                    if three and three <= room:
+                        break
+                    # two at most beside it: pairs that the largest one alone can't stand for
+                    better = [(x, y) for x, y in sizes.pairs(room, s) if x + y > k]
+                    if better:
+                        y = max(y for x, y in better if x == k) if any(x == k for x, _ in better) else 0
+                        if not y or any(v > y for _, v in better):
+                            break
+                        each = Counter((s, k, y))
+                        n = min(sizes.left[x] // m for x, m in each.items())
+                        for x, m in each.items():
+                            a = sizes.take(x, n * m)
+                            events.append((x, a, a + n * m, used, m))
+                        used += n
+                        changed = True
+                        continue
                 if k == s:
                     n = sizes.left[s] // 2
                     a = sizes.take(s, 2 * n)

@@ -240,6 +240,39 @@ def test_plan_places_every_item_once():
         assert used <= 2 * -(-sum(items) // capacity)
 
 
+def fewest(items, capacity):
+    """Containers needed, by trying all."""
+    best = len(items)
+
+    def go(left, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if not left:
+            best = len(rooms)
+            return
+        for r in {x for x in rooms if x >= left[0]}:
+            go(left[1:], [*(rooms[: rooms.index(r)]), r - left[0], *rooms[rooms.index(r) + 1 :]])
+        go(left[1:], [*rooms, capacity - left[0]])
+
+    go(sorted(items, reverse=True), [])
+    return best
+
+
+def test_plan_fixes_only_what_is_best():
+    assert packing.plan({60: 1, 35: 1, 17: 1, 16: 1}, 100)[1:] == (2, 2)  # the largest one beats any two
+    assert packing.plan({60: 1, 22: 1, 17: 1, 16: 1}, 100)[2] >= 1  # an item and the largest two
+    assert packing.plan({4: 900}, 12)[1:] == (300, 300)
+    r = random.Random(12)
+    for _ in range(1500):
+        capacity = r.randrange(8, 40)
+        items = [r.randrange(1, capacity + 1) if r.random() < 0.3 else r.randrange(max(1, capacity // 6), capacity // 2 + 1) for _ in range(r.randrange(1, 9))]
+        counts = {s: items.count(s) for s in items}
+        events, used, fixed = packing.plan(counts, capacity)
+        rest = [s for s, a, b, first, each in events for x in range(a, b) if first + (x - a) // each >= fixed]
+        assert fewest(items, capacity) == fixed + fewest(rest, capacity) if rest else fewest(items, capacity) == fixed == used
+
+
 def test_pack(spark):
     sizes = [(i, s) for i, s in enumerate([0, 1, 9, 10, 11, 20, 25, 5, 5, None, 3, 7] + [4] * 200)] + [(2, 9), (None, 3)]
     items = spark.createDataFrame(sizes, "doc_id long, tokens long").withColumn("part", F.lit("x"))
