@@ -1,12 +1,14 @@
 """One consistent form for texts that look the same.
 
 Strings and code points that look alike are united into transitive classes by
-union-find: by rule from the Unicode database (composed and decomposed forms,
-widths, ligatures, kinds of white space), and from a table of letters of
-several scripts with one shape. Of each class the member that the corpus uses
-most stands for it. Texts are rewritten by a multi-pattern automaton, from left
-to right, the longest pattern first, until nothing changes. Characters that
-show as nothing are the class of the empty string.
+union-find: by rule from the Unicode database (widths, ligatures, kinds of white
+space), and from the whole table of confusable characters that the Unicode
+library of the JVM carries. Everything is in decomposed form, so a composed
+letter is alike to its parts, and to those of any alike letter. Of each class
+the member that the corpus uses most stands for it. Texts are rewritten by a
+multi-pattern automaton, from left to right, the longest pattern first, until
+nothing changes, and composed again. Characters that show as nothing are the
+class of the empty string.
 """
 
 from __future__ import annotations
@@ -17,25 +19,20 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import WIDE_WHITE
 from knotwork.session import cut
 
-# Letters of other code points with the shape of the first, by code point.
-SAME_SHAPE = {
-    "a": "0430", "c": "0441 03F2", "d": "0501", "e": "0435", "g": "0261", "h": "04BB", "i": "0456", "j": "0458 03F3", "l": "04CF", "n": "0578",
-    "o": "043E 03BF 0585", "p": "0440", "q": "051B", "s": "0455", "u": "057D", "v": "03BD 0475", "w": "051D", "x": "0445", "y": "0443",
-    "A": "0391 0410", "B": "0392 0412", "C": "0421 03F9", "E": "0395 0415", "F": "03DC", "G": "050C", "H": "0397 041D", "I": "0399 0406 04C0", "J": "0408 037F",
-    "K": "039A 041A", "M": "039C 041C", "N": "039D", "O": "039F 041E 0555", "P": "03A1 0420", "Q": "051A", "S": "0405 054F", "T": "03A4 0422", "U": "054D",
-    "W": "051C", "X": "03A7 0425", "Y": "03A5 04AE", "Z": "0396", "-": "2010 2011", "Γ": "0413", "Π": "041F", "Φ": "0424", "μ": "00B5",
-}
+# Letters of one shape that the table of confusables gives another shape or none, by code point.
+SAME_SHAPE = {"l": "04CF", "Q": "051A"}
+#: Decompositions that a reader sees: styled, raised, lowered and enclosed characters.
+_STYLED = frozenset("font super sub circle square fraction initial medial final isolated vertical small".split())
 #: Format characters that are seen: marks before numbers and the like.
 _SEEN_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 _NOTHING = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -47,10 +44,11 @@ _ADDED = (0x2695, 0x2696, 0x2708, 0x2764, 0x1F33E, 0x1F373, 0x1F37C, 0x1F384, 0x
 
 
 class Classes:
-    """Union-find over strings."""
+    """Union-find over strings. Classes of two different printable ASCII characters are never united."""
 
     def __init__(self) -> None:
         self.parent: dict[str, str] = {}
+        self.plain: dict[str, str] = {}
 
     def find(self, s: str) -> str:
         root = s
@@ -62,8 +60,12 @@ class Classes:
 
     def unite(self, a: str, b: str) -> None:
         a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+        x, y = (self.plain.get(r, r if len(r) == 1 and "!" <= r <= "~" else None) for r in (a, b))
+        if a == b or x and y:
+            return
+        self.parent[max(a, b)] = min(a, b)
+        if x or y:
+            self.plain[min(a, b)] = x or y
 
     def groups(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
@@ -85,17 +87,89 @@ def _joined_letters(c: str, parts: str) -> bool:
     return not set(parts) & {"ſ", "ʼ"} and parts.isalpha() and (kind == "Nl" or kind[0] == "L" and len(parts) > 1)
 
 
-@lru_cache(maxsize=1)
-def look_alikes() -> tuple[list[list[str]], str]:
-    """(classes of two and more strings, characters that show as nothing)."""
+def _kind(c: str) -> tuple:
+    """What a reader tells apart although the shapes are alike: case, the value of a digit, letter or mark; () for what is in no class."""
+    kind = unicodedata.category(c)
+    if kind in ("Lu", "Lt"):
+        return ("upper",)
+    if kind == "Ll":
+        return ("lower",)
+    if kind == "Lo":
+        return ("letter",)
+    if kind == "Nd":
+        return "digit", unicodedata.digit(c)
+    if kind == "Lm" or kind in ("Po", "Ps", "Pe", "Pc", "Sm", "Sc", "Sk"):
+        return ("mark",)
+    return ()
+
+
+def _words(c: str) -> set[str]:
+    return set(unicodedata.name(c, "").split()) - {"SIGN", "MARK", "LETTER", "MODIFIER", "ACCENT", "FULL", "LEFT", "RIGHT", "SMALL", "CAPITAL"}
+
+
+def confusables(spark: SparkSession) -> tuple[dict[str, str], set[str]]:
+    """(every code point that the Unicode table of confusables knows, with its skeleton; letters with a soft dot).
+
+    One call of the JVM's Unicode library; it doesn't depend on data.
+    """
+    icu = spark._jvm.com.ibm.icu.text
+    points = [chr(c) for c in range(0x21, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cc", "Cf", "Zs", "Zl", "Zp")]
+    points = [c for c in points if not unicodedata.name(c, "").startswith(("CJK UNIFIED", "TANGUT", "EGYPTIAN"))]
+    skeletons = icu.SpoofChecker.Builder().build().getSkeleton("\n".join(points)).split("\n")
+    dotted = icu.UnicodeSet("[:Soft_Dotted:]")
+    return dict(zip(points, skeletons, strict=True)), {chr(dotted.charAt(i)) for i in range(dotted.size())}
+
+
+def _by_shape(u: Classes, skeletons: dict[str, str], dotted: set[str]) -> None:
+    """Unites code points of one skeleton that differ in nothing that a reader sees.
+
+    Printable ASCII characters are never alike. Accents are left out, as the
+    table takes different ones for alike; so are dashes and quotation marks,
+    which have shapes of their own, and styled characters.
+    """
+    families: dict[tuple, dict[tuple, list[str]]] = {}
+    listed = {chr(int(o, 16)) for others in SAME_SHAPE.values() for o in others.split()}
+    for c, skeleton in skeletons.items():
+        kind = _kind(c)
+        if kind and c not in listed and unicodedata.is_normalized("NFD", c) and _decomposition(c)[0] not in _STYLED:
+            dot = unicodedata.normalize("NFKD", c)[0] in dotted
+            families.setdefault((skeleton, dot), {}).setdefault(kind, []).append(c)
+    for family in families.values():
+        letters = family.pop(("letter",), [])
+        cased = [k for k in (("upper",), ("lower",)) if k in family]
+        # a letter without case is alike to the cased ones where only one case has the shape
+        family.setdefault(cased[0] if len(cased) == 1 else ("letter",), []).extend(letters)
+        for members in family.values():
+            plain = [c for c in members if c.isascii()]
+            for c in members:
+                if c.isascii():
+                    continue
+                if len(plain) > 1:
+                    named = [p for p in plain if _words(p) & _words(c)]
+                    if len(named) == 1:
+                        u.unite(named[0], c)
+                else:
+                    u.unite(members[0], c)
+
+
+_CLASSES: tuple[list[list[str]], str] | None = None
+
+
+def look_alikes(spark: SparkSession) -> tuple[list[list[str]], str]:
+    """(classes of two and more decomposed strings, characters that show as nothing); a few thousand, whatever the data."""
+    global _CLASSES
+    if _CLASSES is not None:
+        return _CLASSES
     u = Classes()
+    _by_shape(u, *confusables(spark))
     for s, others in SAME_SHAPE.items():
         for o in others.split():
             u.unite(s, chr(int(o, 16)))
+    for h in (0x2010, 0x2011):  # hyphens
+        u.unite("-", chr(h))
     white = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x20), *WIDE_WHITE)]
     for w in [*white, "\r\n"]:
         u.unite(" ", w)
-    composed = []
     nothing = []
     for code in range(0xA0, sys.maxunicode + 1):
         if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
@@ -107,56 +181,45 @@ def look_alikes() -> tuple[list[list[str]], str]:
         tag, parts = _decomposition(c)
         if not parts or c in white:
             continue
-        if tag in ("wide", "narrow", "noBreak") or tag == "compat" and _joined_letters(c, parts):
-            u.unite(c, parts)
-        elif not tag:
-            composed.append((c, parts))
-    # a composed letter is alike to its parts, and so to the letter composed of parts alike to those
-    for c, parts in composed:
-        u.unite(c, parts)
-        alike = "".join(min(u.find(p), p, key=lambda s: (len(s) != 1, s)) if p in u.parent else p for p in parts)
-        if alike != parts:
-            u.unite(parts, alike)
-            whole = unicodedata.normalize("NFC", alike)
-            if whole != alike:
-                u.unite(alike, whole)
-    return [sorted(g) for g in u.groups().values() if len(g) > 1], "".join(nothing)
-
-
-def _members() -> tuple[list[str], list[str]]:
-    """Members of one character, and longer ones."""
-    groups, _ = look_alikes()
+        if tag in ("wide", "narrow", "noBreak") or tag == "compat" and (_joined_letters(c, parts) or c == "µ"):
+            u.unite(c, unicodedata.normalize("NFD", parts))
+    _CLASSES = [sorted(g) for g in u.groups().values() if len(g) > 1], "".join(nothing)
+    return _CLASSES
+
+
+def _tally(groups: list[list[str]]):
+    """(member, n): how often the decomposed rows use each member of a class."""
     every = [m for g in groups for m in g]
-    return [m for m in every if len(m) == 1], [m for m in every if len(m) > 1]
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(member, n): how often the rows use each member of a class."""
-    single, longer = _members()
-    ascii_longer = [m for m in longer if m.isascii()]
-    wide = ahocorasick.Automaton()
-    for m in longer:
-        if not m.isascii():
-            wide.add_word(m, m)
-    wide.make_automaton()
-    codes = np.zeros(sys.maxunicode + 1, dtype=np.int64)
-    total: Counter = Counter()
-    for b in batches:
-        texts = [t for t in b.column(0).to_pylist() if t]
-        whole = "\x00".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le", "replace"), dtype=np.uint32)
-        found = np.bincount(points, minlength=0)
-        codes[: len(found)] += found
-        for m in ascii_longer:
-            total[m] += whole.count(m)
-        for t in texts:
-            if not t.isascii():
-                for _, m in wide.iter_long(t):
-                    total[m] += 1
-    for m in single:
-        total[m] += int(codes[ord(m)])
-    some = [(m, n) for m, n in total.items() if n]
-    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["member", "n"])
+    single, longer = [m for m in every if len(m) == 1], [m for m in every if len(m) > 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ascii_longer = [m for m in longer if m.isascii()]
+        wide = ahocorasick.Automaton()
+        for m in longer:
+            if not m.isascii():
+                wide.add_word(m, m)
+        wide.make_automaton()
+        codes = np.zeros(sys.maxunicode + 1, dtype=np.int64)
+        total: Counter = Counter()
+        for b in batches:
+            texts = [t if t.isascii() else unicodedata.normalize("NFD", t) for t in b.column(0).to_pylist() if t]
+            whole = "\x00".join(texts)
+            points = np.frombuffer(whole.encode("utf-32-le", "replace"), dtype=np.uint32)
+            found = np.bincount(points, minlength=0)
+            codes[: len(found)] += found
+            for m in ascii_longer:
+                total[m] += whole.count(m)
+            if len(wide):
+                for t in texts:
+                    if not t.isascii():
+                        for _, m in wide.iter_long(t):
+                            total[m] += 1
+        for m in single:
+            total[m] += int(codes[ord(m)])
+        some = [(m, n) for m, n in total.items() if n]
+        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["member", "n"])
+
+    return run
 
 
 def representatives(df: DataFrame, text: str) -> dict[str, str]:
@@ -164,16 +227,17 @@ def representatives(df: DataFrame, text: str) -> dict[str, str]:
 
     As many rows come to the driver as there are members in use, whatever the
     size of the corpus. Of members used equally often an ASCII one stands
-    for the class, then the shortest, then the one with the lesser code points.
+    for the class, then separate letters before joined ones, then the one with
+    the lesser code points.
     """
+    groups, nothing = look_alikes(df.sparkSession)
     used = {
         r["member"]: r["n"]
-        for r in df.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(_tally, "member string, n long").groupBy("member").agg(F.sum("n").alias("n")).collect()
+        for r in df.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(_tally(groups), "member string, n long").groupBy("member").agg(F.sum("n").alias("n")).collect()
     }
-    groups, nothing = look_alikes()
     out = dict.fromkeys(nothing, "")
     for g in groups:
-        best = min(g, key=lambda m: (-used.get(m, 0), not m.isascii(), len(m), m))
+        best = min(g, key=lambda m: (-used.get(m, 0), not m.isascii(), len(m) if m.isascii() else -len(m), m))
         out.update((m, best) for m in g if m != best)
     return out
 
@@ -215,11 +279,11 @@ class Rewriter:
 
     def settled(self, text: str) -> str:
         """Rewritten until nothing changes: what one pass removes may bring a letter and its mark together."""
-        text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFD", text)
         while True:
-            new = unicodedata.normalize("NFC", self.once(text))
+            new = unicodedata.normalize("NFD", self.once(text))
             if new == text:
-                return text
+                return unicodedata.normalize("NFC", text)
             text = new
 
     def _part(self, m: re.Match) -> str:
