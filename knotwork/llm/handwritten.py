@@ -1,16 +1,19 @@
 """Files that are not the hand-written work of their repository.
 
 A linear support-vector classifier over hashed character n-grams and path
-components. Labels come from what a file says of itself in its leading
-comments, from banners of libraries, and from plain statistics of minified text
-and bulk data. Those leading comments are masked before features are made, so
-that the classifier learns contents and places and finds files that say
-nothing. The validation part is split off by repository.
+components. Labels come from public markers in a file's leading comments (the
+conventions by which tools flag their output, and banners that name a version
+with a licence or an address) and from structure: how long the lines are, and
+how much of the text is literals. Those comments are masked before features are
+made, so that the classifier learns contents and places and finds files that
+say nothing. Files without a marker are only presumed to be hand-written: those
+among them that a fit on other repositories takes for the others are dropped
+before the fit that decides. The validation part is split off by repository.
 
 Features are relative frequencies of n-grams (raw and of the text's shape),
 path components, and whether the same masked text stands in several
-repositories. They are linear in the n-grams, so scoring a file is one table
-look-up for each character.
+repositories; no label is derived from a feature. They are linear in the
+n-grams, so scoring a file is one table look-up for each character.
 """
 
 from __future__ import annotations
@@ -28,24 +31,22 @@ from knotwork.parser.grammar import grammar_of, valid
 from knotwork.session import cut
 
 #: Labelled rows of each label that the classifier is fitted on, at most; taken in order of a hash of the file.
-FIT_ROWS = 2500
+FIT_ROWS = 1000
+#: Bytes of their features that come to the driver, at most; rows beyond are left out, in the same order.
+FIT_BYTES = 100_000_000
 #: Sizes of the hashed tables: raw n-grams, n-grams of the shape, path components.
 RAW, SHAPE, PATH = 1 << 15, 1 << 15, 1 << 12
 N_RAW, N_SHAPE = 4, 6
 #: Copied files that are sent to all tasks, at most; more are joined by a shuffle.
 BROADCAST_FILES = 200_000
-#: Texts shorter than this have too few n-grams to be bulk data.
-LEAST_BULK = 400
+#: Structure of compressed and of bulk text: characters a line, the share of characters outside literals, and characters below which neither can be told.
+LONG_LINES, OUTSIDE, LEAST_BULK = 160, 0.06, 400
 
-# What files say of themselves.
 _HEAD = re.compile(r"\A(?:[\s\ufeff]+|//[^\n]*|/\*.*?\*/|#![^\n]*|['\"]use strict['\"];?)*", re.S)
-_MADE = re.compile(
-    r"do not (?:edit|modify)|nicht von hand|ne pas modifier|no editar|auto[- ]?generated|automatically (?:created|generated|produced)|@generated"
-    r"|(?:code|file) generated by|\bproduced by \S+ on\b|\boutput of \S+, regenerate|\bbuilt from \S+, checksum|\bemitted from\b|source hash|wurde von \S+ erzeugt|changes made here will be lost",
-    re.I,
-)
-_LIBRARY = re.compile(r"@license \S+ v?\d+\.\d+|/\*! ?\S+ v?\d+\.\d+|\S+@\d+\.\d+\.\d+ downloaded|^ \* \S+ v?\d+\.\d+\.\d+\s*\n \* https?://|released under the \S+ licen[cs]e by its contributors", re.I | re.M)
-_OURS = re.compile(r"used to be generated|we (?:now )?maintain|maintained by (?:us|our)|took (?:it )?over|header below goes into|house terms|\bemits the\b|\bforked\b", re.I)
+# Public markers of written output, and what banners of libraries hold: a version with a licence or an address.
+_MADE = re.compile(r"@generated\b|<auto-generated|\bauto-?generated\b|\bdo not (?:edit|modify)\b|\b(?:code|file) generated by\b|\bautomatically (?:generated|created)\b", re.I)
+_VERSION = re.compile(r"\b\d+\.\d+\.\d+\b")
+_BANNER = re.compile(r"^\s*/\*!|@license\b|@preserve\b|https?://|\blicen[cs]ed?\b", re.I | re.M)
 _SUSPECT = re.compile(
     r"(?:^|/)(?:vendor|third[_-]?party|node_modules|extern|external|bower_components|generated|__generated__|gen|codegen[^/]*|openapi|dist|build|out|assets|data|public|fixtures)(?:/|$)"
     r"|[._-](?:min|bundle|pb|gen|g|generated|prod|chunk)\.|_pb\.|\.[0-9a-f]{8}\.[a-z]+$",
@@ -70,18 +71,15 @@ def masked(text: str) -> tuple[str, str]:
 
 
 def own_label(file: str, head: str, body: str) -> int | None:
-    """1: certainly not hand-written; 0: nothing speaks against it; None: unclear, not learned from."""
+    """1: marked, or compressed or bulk by its structure; 0: presumed hand-written; None: in an unclear place, not learned from."""
     if not body:
         return None
-    if _OURS.search(head):
-        return 0
-    if _MADE.search(head) or _LIBRARY.search(head):
+    if _MADE.search(head) or _VERSION.search(head) and _BANNER.search(head):
         return 1
-    lines = body.count("\n") + 1
     if len(body) >= LEAST_BULK:
-        if len(body) / lines > 160:
+        if len(body) / (body.count("\n") + 1) > LONG_LINES:
             return 1
-        if body.count("(") * 200 < len(body) and len(_LITERAL.sub("", body)) < 0.06 * len(body):
+        if body.count("(") * 200 < len(body) and len(_LITERAL.sub("", body)) < OUTSIDE * len(body):
             return 1
     return None if _SUSPECT.search(file) else 0
 
@@ -140,12 +138,12 @@ def _row(file: str, body: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(values).astype(np.float32)
 
 
-_SKETCH = "repo string, file string, indexed_at timestamp, tie long, body_hash binary, blank boolean, label int"
+_SKETCH = "repo string, file string, indexed_at timestamp, tie long, body_hash binary, blank boolean, label int, size long"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ties, bodies, blank, labels = [], [], [], []
+        ties, bodies, blank, labels, sizes = [], [], [], [], []
         for file, text in zip(b.column("file").to_pylist(), b.column("source_text").to_pylist()):
             head, body = masked(text or "")
             digest = hashlib.blake2b("".join(body.split()).encode("utf-8", "replace"), digest_size=16).digest()
@@ -153,9 +151,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bodies.append(digest)
             blank.append(not body)
             labels.append(own_label(file, head, body))
+            sizes.append(8 * (min(2 * len(body), RAW + SHAPE) + 40))
         yield pa.RecordBatch.from_arrays(
-            [b.column("repo"), b.column("file"), b.column("indexed_at"), pa.array(ties, pa.int64()), pa.array(bodies, pa.binary()), pa.array(blank, pa.bool_()), pa.array(labels, pa.int32())],
-            ["repo", "file", "indexed_at", "tie", "body_hash", "blank", "label"],
+            [b.column("repo"), b.column("file"), b.column("indexed_at"), pa.array(ties, pa.int64()), pa.array(bodies, pa.binary()), pa.array(blank, pa.bool_()), pa.array(labels, pa.int32()), pa.array(sizes, pa.int64())],
+            ["repo", "file", "indexed_at", "tie", "body_hash", "blank", "label", "size"],
         )
 
 
@@ -197,6 +196,10 @@ def fit(samples: list[tuple[str, str, str, int, bool]]) -> Model:
     return fit_rows([(repo, *_row(file, body), label, copied) for repo, file, body, label, copied in samples])
 
 
+def _place(repo: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((repo or "").encode(), digest_size=2).digest(), "big")
+
+
 def fit_rows(samples: list[tuple]) -> Model:
     """samples: (repo, places, values, label, copied). A fifth of the repositories validates."""
     rows, y, held = [], [], []
@@ -205,7 +208,7 @@ def fit_rows(samples: list[tuple]) -> Model:
             p, v = np.append(p, COPIED), np.append(v, np.float32(0.6))
         rows.append((p, v))
         y.append(1 if label else -1)
-        held.append(int.from_bytes(hashlib.blake2b((repo or "").encode(), digest_size=2).digest(), "big") % 5 == 0)
+        held.append(_place(repo) % 5 == 0)
     y, held = np.array(y), np.array(held, dtype=bool)
     if len(y) == 0 or (y > 0).all() or (y < 0).all():
         return Model(np.zeros(WIDTH), -1.0, {"rows": len(y)})
@@ -217,24 +220,41 @@ def fit_rows(samples: list[tuple]) -> Model:
     scaled = [(p, (v * scale[p])) for p, v in rows]
     norms = np.sqrt(np.mean([float(v @ v) for _, v in scaled]))
     scaled = [(p, v / norms) for p, v in scaled]
+    # of the presumed ones, those that a fit on the other half of the repositories takes for the others are not learned from
+    half = np.array([_place(r[0]) // 5 % 2 for r in samples], dtype=bool)
+    sure = y > 0
+    for side in (False, True):
+        learn = np.flatnonzero(half != side)
+        if (y[learn] > 0).any() and (y[learn] < 0).any():
+            w, b = _train([scaled[i] for i in learn], y[learn], 1.0, 10)
+            for i in np.flatnonzero((half == side) & (y < 0)):
+                p, v = scaled[i]
+                sure[i] = float(w[p] @ v) + b <= 0
+        else:
+            sure |= half == side
     best: dict = {}
-    if held.any() and not held.all():
+    if (held & sure).any() and (~held & sure).any():
+        learn, test = np.flatnonzero(~held & sure), np.flatnonzero(held & sure)
+        t = y[test]
         for strength in (1.0, 10.0, 100.0):
-            w, b = _train([r for r, h in zip(scaled, held) if not h], y[~held], strength)
-            s = np.array([float(w[p] @ v) + b for (p, v), h in zip(scaled, held) if h])
-            t = y[held]
+            w, b = _train([scaled[i] for i in learn], y[learn], strength)
+            own = np.array([float(w[p] @ v) + b for p, v in (scaled[i] for i in test)])
+            alone = own - np.array([w[COPIED] * v[-1] if p[-1] == COPIED else 0.0 for p, v in (scaled[i] for i in test)])
+            s = own
             hit, found, there = int(((s > 0) & (t > 0)).sum()), int((s > 0).sum()), int((t > 0).sum())
             f1 = 2 * hit / max(1, found + there)
             if not best or f1 > best["f1"] + 1e-9:
-                best = {"f1": f1, "strength": strength, "precision": hit / max(1, found), "recall": hit / max(1, there), "held": int(held.sum()), "rows": len(y)}
-    w, b = _train(scaled, y, best.get("strength", 10.0))
+                best = {"f1": f1, "strength": strength, "precision": hit / max(1, found), "recall": hit / max(1, there), "held": len(test), "rows": len(y), "dropped": int((~sure).sum())}
+                hit, found = int(((alone > 0) & (t > 0)).sum()), int((alone > 0).sum())
+                best |= {"precision_without_copies": hit / max(1, found), "recall_without_copies": hit / max(1, there)}
+    w, b = _train([r for r, x in zip(scaled, sure) if x], y[sure], best.get("strength", 10.0))
     return Model(w * scale / norms, b, best)
 
 
 def _latest(parsed_files: DataFrame) -> DataFrame:
-    """One row for each file, of its latest text: repo, file, indexed_at, tie, label, blank, copied."""
+    """One row for each file, of its latest text: repo, file, indexed_at, tie, label, blank, size, copied."""
     rows = _texts(parsed_files).mapInArrow(_sketches, _SKETCH)
-    newest = rows.groupBy("file").agg(F.max(F.struct("indexed_at", "tie", "repo", "body_hash", "blank", "label")).alias("r")).select("file", "r.*")
+    newest = rows.groupBy("file").agg(F.max(F.struct("indexed_at", "tie", "repo", "body_hash", "blank", "label", "size")).alias("r")).select("file", "r.*")
     # the same text in two repositories is not the work of one of them
     spread = (
         newest.where(~F.col("blank"))
@@ -270,16 +290,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_on(parsed_files: DataFrame, latest: DataFrame) -> Model:
-    """Fits on at most FIT_ROWS files of each label, the first by a hash of their names."""
-    named = latest.where(~F.col("blank")).select("repo", "file", "indexed_at", "tie", "copied", F.when(F.col("copied"), 1).otherwise(F.col("label")).alias("label"))
-    chosen = None
+    """Fits on at most FIT_ROWS files of each label and FIT_BYTES of features, the first by a hash of their names.
+
+    A copy in another repository speaks against a presumed label, so such files
+    are not learned from unless they are marked.
+    """
+    named = latest.where(~F.col("blank") & ((F.col("label") == 1) | ((F.col("label") == 0) & ~F.col("copied"))))
+    chosen, left = [], [FIT_BYTES // 2, FIT_BYTES // 2]
     for label in (0, 1):
-        some = named.where(F.col("label") == label).orderBy(F.xxhash64("file"), "file").limit(FIT_ROWS)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    keys = F.broadcast(chosen)  # at most 2 * FIT_ROWS rows without texts
+        for r in named.where(F.col("label") == label).orderBy(F.xxhash64("file"), "file").select("repo", "file", "tie", "copied", "label", "size").limit(FIT_ROWS).collect():
+            if r["size"] <= left[label]:
+                left[label] -= r["size"]
+                chosen.append((r["repo"], r["file"], r["tie"], r["copied"], r["label"]))
+    keys = F.broadcast(parsed_files.sparkSession.createDataFrame(chosen, "repo string, file string, tie long, copied boolean, label int"))  # at most 2 * FIT_ROWS rows without texts
     sampled = (
         _texts(parsed_files)
-        .join(F.broadcast(chosen.select("file")), "file", "left_semi")
+        .join(keys.select("file"), "file", "left_semi")
         .mapInArrow(_features, "file string, indexed_at timestamp, tie long, places binary, values binary")
         .join(keys, ["file", "tie"])
         .dropDuplicates(["file"])

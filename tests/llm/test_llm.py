@@ -196,6 +196,18 @@ def test_classifier_on_held_out_repositories(spark):
     p = table(spark, "/root/testdata/sf0.01", "parsed_files")
     report = handwritten.fit_on(p, handwritten.cut(handwritten._latest(p))).report
     assert report["held"] > 50 and report["precision"] >= 0.9 and report["recall"] >= 0.9
+    assert report["precision_without_copies"] >= 0.9
+
+
+def test_labels_and_bytes_of_the_fit(spark, monkeypatch):
+    assert handwritten.own_label("r/a.js", "/*! kit v1.2.3 */", "x()") == 1
+    assert handwritten.own_label("r/a.js", "// since 1.2.3\n", "x()") == 0
+    assert handwritten.own_label("r/vendor/a.js", "", "x()") is None
+    assert handwritten.own_label("r/a.js", "// HEADER is written by hand\n", "const H = '// Code generated by x. DO NOT EDIT.'") == 0
+    p = spark.read.parquet("/root/testdata/sf0.001/parsed_files.parquet")
+    latest = handwritten.cut(handwritten._latest(p))
+    monkeypatch.setattr(handwritten, "FIT_BYTES", 1)
+    assert handwritten.fit_on(p, latest).report == {"rows": 0}
 
 
 # -- tokens
