@@ -45,7 +45,7 @@ LONG_LINES, OUTSIDE, LEAST_BULK = 160, 0.06, 400
 _HEAD = re.compile(r"\A(?:[\s\ufeff]+|//[^\n]*|/\*.*?\*/|#![^\n]*|['\"]use strict['\"];?)*", re.S)
 # Public markers of written output, and what banners of libraries hold: a version with a licence or an address.
 _MADE = re.compile(r"@generated\b|<auto-generated|\bauto-?generated\b|\bdo not (?:edit|modify)\b|\b(?:code|file) generated by\b|\bautomatically (?:generated|created)\b", re.I)
-_VERSION = re.compile(r"\b\d+\.\d+\.\d+\b")
+_VERSION = re.compile(r"(?:(?<![\w.])v?|@)\d+\.\d+\.\d+\b")
 _BANNER = re.compile(r"^\s*/\*!|@license\b|@preserve\b|https?://|\blicen[cs]ed?\b", re.I | re.M)
 _SUSPECT = re.compile(
     r"(?:^|/)(?:vendor|third[_-]?party|node_modules|extern|external|bower_components|generated|__generated__|gen|codegen[^/]*|openapi|dist|build|out|assets|data|public|fixtures)(?:/|$)"
