@@ -1725,7 +1725,11 @@ def _parses(tokens: Tokens, ts: bool) -> tuple[bool, bool]:
             if found is None:
                 q = Parser(part, ts)
                 q.embedded_expression()
-                found = _seen[key] = int(q.typed)
+                found = int(q.typed)
+                if len(part.kinds) <= LONGEST:
+                    if len(_seen) >= MEMORY:
+                        _seen.clear()
+                    _seen[key] = found
             typed |= bool(found)
     except Broken:
         return False, False

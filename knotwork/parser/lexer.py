@@ -34,6 +34,11 @@ NAME_LIKE = CONTEXTUAL_KINDS | {NAME}
 #: A slash after one of these divides; after anything else it opens a regular expression.
 _OPERAND = frozenset(NAME_LIKE | {NUMBER, STRING, TEMPLATE, REGEX, JSX, PRIVATE, ")", "]", "}"} | {KIND[w] for w in "this super null true false ++ --".split()})
 
+#: A parenthesis after one of these is the head of a statement; a brace after one of these opens no block.
+_HEADS = frozenset(KIND[w] for w in "if while for with".split())
+_BEFORE_OBJECT = frozenset("=([,?!&|+-*/%^~<.") | {KIND[w] for w in (
+    "return throw case typeof void delete in instanceof new yield await default import export ... == != === !== && || ?? += -= *= /= %= **= ** <<= << <= &= |= ^= &&= ||= ??=".split())}
+
 _ID = r"(?:[A-Za-z_$]|[^\x00-\x7f\s\u2028\u2029\ufeff]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))(?:[\w$]|[^\x00-\x7f\s\u2028\u2029\ufeff]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*+"
 _STR = r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\""
 _COMMENT = r"//[^\n\r\u2028\u2029]*+|/\*(?:[^*]|\*(?!/))*+\*/"
@@ -56,6 +61,7 @@ _RUN = {
     (True, True): re.compile(rf"(?:[^`/'\"<{{}}]++|{_COMMENT}|{_STR})*+"),
 }
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*+\])++/([A-Za-z0-9_$]*)")
+_PATTERN_PART = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*+\]|\((?:\?(?:[:=!]|<[=!]|<[^>]*>|[a-z-]+:))?|.", re.S)
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
 _JSX_OPEN = re.compile(r"<\s*(?:[A-Za-z_$>])")
 _GENERIC_ARROW = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s+[^>/]*[,>]\s*\(|=[^>]*>\s*\()")
@@ -148,6 +154,55 @@ def _last(kinds: list[str]) -> str:
     return ""
 
 
+class _Brackets:
+    """Brackets among the tokens so far, each kind looked at once; tells what the last closed one was."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool | None]] = []
+        self.run = self.before = 0
+        self.last, self.last2 = "", ""
+        self.statement = False
+
+    def ends_statement(self, kinds: list[str]) -> bool:
+        """Whether the last token closes the head of a statement, or a block: a regular expression may follow, no division."""
+        for run in kinds[self.run :]:
+            for c in run:
+                if c == NEWLINE:
+                    continue
+                if c == "(":
+                    head = self.last in _HEADS and self.last2 not in (".", KIND["?."]) or self.last == KIND["await"] and self.last2 == KIND["for"]
+                    self.open.append((c, head))
+                elif c == "{":
+                    # after a colon it is a block of a label or case, or what a conditional gives: a line end tells
+                    in_block = not self.open or self.open[-1] == ("{", True)
+                    self.open.append((c, self.last not in _BEFORE_OBJECT if self.last != ":" else None if in_block else False))
+                elif c == "[":
+                    self.open.append((c, False))
+                elif c in ")]}":
+                    self.statement = self.open.pop()[1] if self.open else c == "}"
+                self.last2, self.last = self.last, c
+        self.run = len(kinds)
+        return self.statement if self.statement is not None else kinds[-1][-1:] == NEWLINE
+
+
+def _sound_pattern(body: str, flags: str) -> bool:
+    """Groups of a regular expression are closed, and every quantifier has something to repeat."""
+    if "v" in flags:
+        return True
+    depth, before = 0, "("
+    for c in _PATTERN_PART.findall(body):
+        if c[0] == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth < 0:
+                return False
+        elif c in "*+?" and before in ("(", "|"):
+            return False
+        before = "(" if c[0] == "(" else c
+    return depth == 0
+
+
 def _scan(src: str, pos: int, jsx: bool, out: Tokens, inside: bool) -> int:
     """Tokens from pos into out, to the end or, inside an embedded expression, to its closing brace; where it stopped."""
     n = len(src)
@@ -157,6 +212,7 @@ def _scan(src: str, pos: int, jsx: bool, out: Tokens, inside: bool) -> int:
     run = _RUN[jsx, inside]
     lookup = _KINDS.__getitem__
     starts = out.starts
+    brackets = _Brackets()
     while True:
         end = run.match(src, pos).end()
         if end > pos:
@@ -183,10 +239,11 @@ def _scan(src: str, pos: int, jsx: bool, out: Tokens, inside: bool) -> int:
             values.append("`")
             kinds.append(TEMPLATE)
         elif c == "/":
-            m = None if _last(kinds) in _OPERAND else _REGEX.match(src, pos)
+            last = _last(kinds)
+            m = None if last in _OPERAND and not (last in (")", "}") and brackets.ends_statement(kinds)) else _REGEX.match(src, pos)
             if m:
                 flags = m.group(1)
-                sound = len(set(flags)) == len(flags) and not set(flags) - set("dgimsuvy") and not {"u", "v"} <= set(flags)
+                sound = _sound_pattern(src[pos + 1 : m.start(1) - 1], flags) and len(set(flags)) == len(flags) and not set(flags) - set("dgimsuvy") and not {"u", "v"} <= set(flags)
                 values.append("/r/")
                 kinds.append(REGEX if sound else BAD)
                 pos = m.end()

@@ -1,5 +1,6 @@
 import pytest
 
+from knotwork.parser import grammar
 from knotwork.parser.grammar import GRAMMARS, extract, syntax_of, valid
 
 
@@ -191,3 +192,35 @@ def test_deep_types_and_elements():
     assert syntax_of(deep, "javascript") == (False, ["tsx", "jsx"])
     assert syntax_of(deep + "\na b", "jsx") == (False, [])
     assert valid("x = " + "(" * 20_000 + "1" + ")" * 20_000, "typescript")
+
+
+REGEX_OR_DIVISION = [
+    ("function f(x){ if (x) /ab+/.test(x); }", True),
+    ("function f(){ return 1 }\n/ab+/.test('x')", True),
+    ("let a = (b) / 2 / c; let d = {a: 1}.a / 3 / 4", True),
+    ("while (q) /x/g.exec(q)", True),
+    ("for await (const a of b) /x\\//.test(a)", True),
+    ("a.if(x) / 2 / 3", True),
+    ("const o = { a: { b: 1 } } / 2 / 3", True),
+    ("x = y ? {a: 1} / 2 : {b: 2} / 3 / 1", True),
+    ("switch (a) { case 1: { b() }\n/x'/.test(c) }", True),
+    ("x = `a${ {b: 1}.b / 2 / 1 }`", True),
+    (r"x = /(?<a>b)(?:c)(?=d)[(]\(/u; y = /^(?:a|b)*?(?!x)+$/", True),
+    ("let a = /(/;", False),
+    ("let a = /a)/;", False),
+    ("let a = /+a/;", False),
+    ("if (a) {} /re(/.test(x)", False),
+]
+
+
+@pytest.mark.parametrize("src, want", REGEX_OR_DIVISION)
+def test_regular_expression_or_division(src, want):
+    assert valid(src, "javascript") is want
+
+
+def test_memory_of_shapes_is_bounded(monkeypatch):
+    monkeypatch.setattr(grammar, "MEMORY", 5)
+    monkeypatch.setattr(grammar, "LONGEST", 12)
+    for i in range(40):
+        assert valid("x = `${" + "a+" * i + "1}`; y = z" + "+ 1" * i, "javascript")
+    assert len(grammar._seen) <= 5 and max(len(k[2]) for k in grammar._seen) <= 14
