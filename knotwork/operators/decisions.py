@@ -55,20 +55,22 @@ def anchors_with_liveness(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def live_counts(anchors_live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """One row: total and live of the anchors of the decisions in ids (id), of all without ids; 0 and 0 if none."""
-    if ids is not None:
-        anchors_live = anchors_live.join(ids.select(F.col("id").alias("decision_id")).distinct(), "decision_id", "left_semi")
-    return anchors_live.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(F.col("live").cast("long")), F.lit(0)).alias("live"))
+    return _listed(anchors_live, ids).agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(F.col("live").cast("long")), F.lit(0)).alias("live"))
 
 
-def keywords_of(keywords: DataFrame) -> DataFrame:
-    """decision_id, keywords in order."""
-    return keywords.groupBy("decision_id").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
+def _listed(df: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return df if ids is None else df.join(ids.select(F.col("id").alias("decision_id")).distinct(), "decision_id", "left_semi")
 
 
-def anchors_of(anchors_live: DataFrame) -> DataFrame:
-    """decision_id, anchors: kind, file, name, live, in that order; the name of a file anchor is null."""
+def keywords_of(keywords: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """decision_id, keywords in order, of the decisions in ids (id), of all without ids."""
+    return _listed(keywords, ids).groupBy("decision_id").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
+
+
+def anchors_of(anchors_live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """decision_id, anchors: kind, file, name, live, in that order; the name of a file anchor is null. Of the decisions in ids (id), of all without ids."""
     a = F.struct(F.col("anchor_kind").alias("kind"), F.col("anchor_file").alias("file"), F.when(F.col("anchor_kind") == "function", F.col("anchor_name")).alias("name"), "live")
-    return anchors_live.groupBy("decision_id").agg(F.array_sort(F.collect_list(a)).alias("anchors"))
+    return _listed(anchors_live, ids).groupBy("decision_id").agg(F.array_sort(F.collect_list(a)).alias("anchors"))
 
 
 def vocabulary(keywords: DataFrame, limit: int | None = None) -> DataFrame:

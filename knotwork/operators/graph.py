@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.session import cut
+
 
 def upsert_nodes(nodes: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes after the upsert, (ord, id) of every input row).
@@ -28,10 +30,12 @@ def upsert_nodes(nodes: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with n from 1 in the order: ranks in salted ranges, and offsets of the ranges."""
-    from pyspark.sql import Window
+    """df with n from 1 in the order: ranks in ranges, and offsets of the ranges.
 
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    The ranges are written before they are counted, so that both uses see the
+    same ones whatever is computed again.
+    """
+    ranged = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # one row for each partition
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")

@@ -88,10 +88,12 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, nodes: DataFrame) -> Dat
     keyed = c.withColumn("early", early).withColumn("k_file", F.when(F.col("early").isNull(), F.when(has, F.col("resolved_file")).otherwise(F.col("file")))).withColumn(
         "k_name", F.when(F.col("early").isNull(), F.when(has, F.col("imported_name")).otherwise(F.col("callee")))
     )
+    # only calls that have a key meet the registry: settled ones would all share the null key
     registry = nodes.select(F.col("file").alias("target_file"), F.col("name").alias("target_name")).distinct()
-    out = keyed.join(registry, (F.col("k_file") == F.col("target_file")) & (F.col("k_name") == F.col("target_name")), "left")
-    reason = F.coalesce("early", F.when(F.col("target_file").isNull(), F.when(has, "barrel_miss").otherwise("unknown_bare")))
-    return out.withColumn("reason", reason).select(*calls.columns, "target_file", "target_name", "reason")
+    open_ = keyed.where(F.col("early").isNull()).join(registry, (F.col("k_file") == F.col("target_file")) & (F.col("k_name") == F.col("target_name")), "left")
+    miss = F.when(F.col("target_file").isNull(), F.when(has, "barrel_miss").otherwise("unknown_bare"))
+    settled = keyed.where(F.col("early").isNotNull()).select(*calls.columns, F.lit(None).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_name"), F.col("early").alias("reason"))
+    return open_.select(*calls.columns, "target_file", "target_name", miss.alias("reason")).unionByName(settled)
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:

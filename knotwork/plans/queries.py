@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from knotwork.operators import sessions as S
 from knotwork.operators import validate as V
 from knotwork.operators.pipeline import resolve_parsed
 from knotwork.plans.relations import graph_relation, parsed_files, present_nodes
-from knotwork.session import table
+from knotwork.session import cut, table
 from knotwork.sources.files import extract_texts, language, scanned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +69,9 @@ def index_totals(spark, d):
 @_query
 def index_summary(spark, d):
     p = parsed_files(spark, d)
-    return serve.index_summary(R.totals(p, resolve_parsed(p, _listing(spark, d))), 0.0)
+    failures = table(spark, d, "pipeline_results").select(F.explode("parse_failures").alias("f")).select("f.file").distinct()
+    duplicates = p.select("file", F.explode("duplicate_function_names").alias("name"))
+    return serve.index_summary(R.totals(p, resolve_parsed(p, _listing(spark, d))), 0.0, failures, duplicates)
 
 
 @_query
@@ -187,25 +190,43 @@ def node_by_id(spark, d):
 @_query
 def nodes_by_name(spark, d):
     n = present_nodes(spark, d)
-    return n.join(F.broadcast(n.agg(F.min("name").alias("name"))), "name").select("id", "file", "name", "start_line", "end_line")
+    return G.nodes_by_name(n, n.agg(F.min("name")).first()[0]).select("id", "file", "name", "start_line", "end_line")
 
 
 @_query
 def nodes_by_file(spark, d):
     n = present_nodes(spark, d)
-    return n.join(F.broadcast(n.agg(F.min("file").alias("file"))), "file").select("id", "file", "name", "start_line", "end_line")
+    return G.nodes_by_file(n, n.agg(F.min("file")).first()[0]).select("id", "file", "name", "start_line", "end_line")
+
+
+def _g_edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(nodes with an id, the place of the name in the order of files; edges by ids)."""
+    inputs = _g(spark, d, "g_node_inputs").withColumn("ord", F.struct("file", "name"))
+    nodes, _ = G.upsert_nodes(spark.createDataFrame([], "id long, file string, name string, kind string, start_line int, end_line int"), inputs)
+    nodes = cut(nodes)
+    a = nodes.select(F.col("id").alias("source_id"), "file", F.col("name").alias("caller"))
+    b = nodes.select(F.col("id").alias("target_id"), F.col("file").alias("target_file"), F.col("name").alias("target_name"))
+    sites = _g_resolved(spark, d).where(F.col("reason").isNull()).join(a, ["file", "caller"]).join(b, ["target_file", "target_name"])
+    return nodes, G.insert_edges(spark.createDataFrame([], "source_id long, target_id long, kind string, count long"), sites.select("source_id", "target_id", F.lit("calls").alias("kind")))
 
 
 @_query
 def edges_from_node(spark, d):
-    e = R.call_edges(_g_resolved(spark, d))
-    return e.groupBy("source_file", "source_name").agg(F.count(F.lit(1)).alias("n_targets"), F.sum("count").alias("n_calls"))
+    return G.edges_from(_g_edges(spark, d)[1], 3)
 
 
 @_query
 def edges_to_node(spark, d):
-    e = R.call_edges(_g_resolved(spark, d))
-    return e.groupBy("target_file", "target_name").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("count").alias("n_calls"))
+    return G.edges_to(_g_edges(spark, d)[1], 11)
+
+
+@_query
+def edge_degrees(spark, d):
+    """How many edges every function has, by its id."""
+    nodes, edges = _g_edges(spark, d)
+    out = edges.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n_targets"), F.sum("count").alias("n_calls"))
+    into = edges.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n_sources"))
+    return nodes.select("id", "file", "name").join(out, "id", "left").join(into, "id", "left").select("id", "file", "name", "n_targets", "n_calls", "n_sources")
 
 
 @_query
@@ -264,6 +285,27 @@ def anchors_of_decisions(spark, d):
     return a.select("decision_id", F.array_join(line, "|").alias("anchors"))
 
 
+def _ids(spark, d) -> DataFrame:
+    """Every decision whose id is divisible by 20, as a list to look up."""
+    return table(spark, d, "decisions").where("id % 20 = 0").select("id").distinct()
+
+
+@_query
+def keywords_of_listed(spark, d):
+    return D.keywords_of(_store(spark, d)[2], _ids(spark, d)).select("decision_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@_query
+def anchors_of_listed(spark, d):
+    a = D.anchors_of(D.anchors_with_liveness(_store(spark, d)[1], present_nodes(spark, d)), _ids(spark, d))
+    return a.select("decision_id", F.size("anchors").alias("n_anchors"))
+
+
+@_query
+def live_of_listed(spark, d):
+    return D.live_counts(D.anchors_with_liveness(_store(spark, d)[1], present_nodes(spark, d)), _ids(spark, d))
+
+
 @_query
 def vocabulary_top(spark, d):
     return D.vocabulary(_store(spark, d)[2], 100)
@@ -280,29 +322,78 @@ def kept_children(spark, d):
 # -- sessions and rendering
 
 
-def _g_pairs(spark, d) -> DataFrame:
-    return _g(spark, d, "g_anchors").select("decision_id", F.col("anchor_file").alias("file")).distinct()
+def _s(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Events of sessions that read anchored files, and which decisions are on which file."""
+    return _g(spark, d, "s_events"), _g(spark, d, "s_pairs")
 
 
 @_query
 def session_reads(spark, d):
-    return S.read_summary(_g(spark, d, "g_events"), _g_pairs(spark, d)).select("seq", "session_id", "total", "new_cnt")
+    return S.read_summary(*_s(spark, d)).select("seq", "session_id", "total", "new_cnt")
 
 
 @_query
 def session_new_decisions(spark, d):
-    return S.new_decisions(_g(spark, d, "g_events"), _g_pairs(spark, d)).select("seq", "session_id", "decision_id")
+    return S.new_decisions(*_s(spark, d)).select("seq", "session_id", "decision_id")
+
+
+@_query
+def session_read_decisions(spark, d):
+    return S.read_decisions(*_s(spark, d)).select("seq", "session_id", "decision_id", "is_new")
 
 
 @_query
 def session_state(spark, d):
-    return S.final_state(_g(spark, d, "g_events"), _g_pairs(spark, d))
+    return S.final_state(*_s(spark, d))
+
+
+def _states(spark, d) -> DataFrame:
+    events, pairs = _s(spark, d)
+    return S.session_states(events, pairs, "ts")
+
+
+@_query
+def session_states(spark, d):
+    """The stored states after all events."""
+    return _states(spark, d).select("session_id", "modified_at", F.array_join("shown_decision_ids", ",").alias("shown"))
+
+
+@_query
+def session_shown(spark, d):
+    """What the default session has been shown."""
+    return S.read_shown(_states(spark, d), None)
+
+
+@_query
+def session_written(spark, d):
+    """The states after one of them is cleared by a write and one that wasn't there is written."""
+    now = datetime(2030, 1, 1)
+    written = spark.createDataFrame([("s1", []), ("new", [1, 2])], "session_id string, shown_decision_ids array<long>")
+    return S.write_shown(_states(spark, d), written, now).select("session_id", "modified_at", F.size("shown_decision_ids").alias("n_shown"))
+
+
+@_query
+def session_wiped(spark, d):
+    return S.wiped(_states(spark, d), datetime(2030, 1, 1)).select("session_id", F.size("shown_decision_ids").alias("n_shown"))
+
+
+@_query
+def session_kept(spark, d):
+    """The states that are left when session s2 ends half a day after the last write, of those kept for a day."""
+    states = _states(spark, d)
+    now = states.agg((F.max("modified_at") + F.expr("interval 12 hours")).alias("t")).first()["t"] or datetime(2030, 1, 1)
+    return S.collected_sessions(states, spark.createDataFrame([("s2",)], "session_id string"), now, 1).select("session_id")
+
+
+@_query
+def reset_message(spark, d):
+    return S.reset_message(_states(spark, d))
 
 
 @_query
 def read_texts(spark, d):
-    events, pairs = _g(spark, d, "g_events"), _g_pairs(spark, d)
-    return serve.render_reads(S.read_summary(events, pairs), S.new_decisions(events, pairs), _g(spark, d, "g_decisions"), _g(spark, d, "g_anchors"), _g(spark, d, "g_keywords"))
+    events, pairs = _s(spark, d)
+    return serve.render_reads(*S.served(events, pairs), *_store(spark, d))
 
 
 @_query
@@ -310,12 +401,34 @@ def hook_replies(spark, d):
     return read_texts(spark, d).select("seq", serve.envelope(F.col("text")).alias("reply"))
 
 
+@_query
+def injected(spark, d):
+    """Replies to raw events, one JSON object each: half of the paths are absolute, some lie outside, some events are broken."""
+    path = F.when(F.col("seq") % 11 == 0, F.concat(F.lit("/other/"), "file")).when(F.col("seq") % 2 == 0, F.concat(F.lit("/work/"), "file")).otherwise(F.col("file"))
+    whole = F.to_json(F.struct(F.struct(path.alias("file_path")).alias("tool_input"), "session_id", F.lit("/work").alias("cwd")))
+    raw = _s(spark, d)[0].select("seq", "op", F.when((F.col("op") == "read") & (F.col("seq") % 13 == 0), F.substring(whole, 1, 20)).otherwise(whole).alias("value"))
+    return serve.inject(raw, *_store(spark, d)).select("seq", "session_id", "file", "reply")
+
+
 @_query
 def keyword_listing(spark, d):
     decisions, anchors, keywords = _store(spark, d)
     return serve.keyword_listing(decisions, keywords, D.anchors_with_liveness(anchors, present_nodes(spark, d)), "ordering")
 
 
+@_query
+def keyword_replies(spark, d):
+    """Replies to sound and faulty calls."""
+    decisions, anchors, keywords = _store(spark, d)
+    live = D.anchors_with_liveness(anchors, present_nodes(spark, d))
+    calls = (None, "[1]", "{}", '{"keyword": ""}', '{"keyword": 3}', '{"keyword": "no such keyword"}', '{"keyword": "retry"}')
+    out = None
+    for n, raw in enumerate(calls):
+        r = serve.keyword_reply(raw, decisions, keywords, live).select(F.lit(n).alias("call"), "ok", "text")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @_query
 def keyword_help(spark, d):
     return serve.keyword_help(_store(spark, d)[2])

@@ -22,6 +22,11 @@ GRAPH_SQL = {
  case when l_linestatus <> 'F' then '' when l_returnflag = 'A' then concat('ghost_', replace(p.p_name, ' ', '_')) else replace(p.p_name, ' ', '_') end as anchor_name from {lineitem} l join {part} p on p.p_partkey = l.l_partkey""",
     "g_decisions": "select cast(o_orderkey as bigint) as id, concat('alert ', cast(o_orderkey as string), ' ', o_orderpriority) as decision, case when o_custkey % 3 = 0 then null else concat('s', cast(o_custkey % 50 as string)) end as session_id, concat(cast(cast(o_orderdate as date) as string), 'T00:00:00.000Z') as created_at from {orders}",
     "g_keywords": "select o_orderkey as decision_id, lower(c_mktsegment) as keyword from {orders} join {customer} on c_custkey = o_custkey union select o_orderkey, lower(replace(substr(o_orderpriority, 3), ' ', '-')) from {orders}",
+    "s_pairs": "select distinct decision_id, anchor_file as file from {decision_anchors} where decision_id is not null and anchor_file is not null",
+    "s_events": """select event_id as seq, case when event_id % 9 = 0 then null else concat('s', cast(user_id % 50 as string)) end as session_id,
+ case when event_type = 'error' then 'clear' when event_type = 'signup' then 'end' when event_type = 'purchase' and event_id % 500 < 5 then 'reset_all' else 'read' end as op, a.anchor_file as file, e.ts as ts
+ from {events} e left join (select anchor_id, min(anchor_file) as anchor_file from {decision_anchors} where anchor_id is not null group by anchor_id) a
+ on a.anchor_id = (e.user_id * 5 + e.event_id % 5) % 3000 + 1""",
     "g_events": "select event_id as seq, concat('s', cast(user_id % 50 as string)) as session_id, case when event_type = 'error' then 'clear' when event_type = 'signup' then 'end' when event_type = 'purchase' and event_id % 500 < 5 then 'reset_all' else 'read' end as op, concat('src/brand', cast(event_id % 25 + 1 as string), '.ts') as file from {events}",
 }
 

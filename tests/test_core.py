@@ -219,26 +219,27 @@ def test_shown_once(spark, event_log):
     assert S.read_decisions(e.where("false"), p).count() == 0
 
 
-def test_sessions_meet_all_decisions(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("share, buckets", [(0.01, 1024), (0.0001, 7)])
+def test_sessions_meet_all_decisions(spark, tmp_path, monkeypatch, share, buckets):
+    """Null sessions, files and keys, repeated rows, hot files, columns of clashing names."""
     from knotwork.plans.queries import QUERIES
     from knotwork.plans.relations import graph_relation
 
-    monkeypatch.setattr(S, "LISTED", (20, 30))
-    monkeypatch.setattr(S, "COUNTED", (50, 20))
+    monkeypatch.setattr(S, "HEAVY_SHARE", share)
+    monkeypatch.setattr(S, "BUCKETS", buckets)
     r = random.Random(5)
+    anchors = [(i + 1, r.randrange(40), r.choice(["file", "function"]), "hot.ts" if i % 3 == 0 else f"f{r.randrange(9)}.ts", r.choice(["", "g", None]), "x") for i in range(120)]
     tables = {
-        "part": ([(p, f"Brand#{p % 5 + 1}", f"part {p % 9}") for p in range(40)], "p_partkey long, p_brand string, p_name string"),
-        "orders": ([(o, o % 11, dt.datetime(2025, 1, o % 28 + 1), "1-URGENT") for o in range(1, 130)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"),
-        "customer": ([(c, "BUILDING") for c in range(11)], "c_custkey long, c_mktsegment string"),
-        "lineitem": ([(o, r.randrange(40), r.randrange(9), r.choice("AR"), r.choice("FO")) for o in range(1, 130) for _ in range(r.randrange(4))], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"),
-        "events": ([(e, r.randrange(4), r.choices(["view", "error", "signup", "purchase"], [20, 1, 1, 1])[0]) for e in range(300)], "event_id long, user_id long, event_type string"),
+        "decision_anchors": (anchors + anchors[:9] + [(None, 1, "file", None, "", "x"), (500, None, "file", "f1.ts", "", "x")], "anchor_id long, decision_id long, anchor_kind string, anchor_file string, anchor_name string, part string"),
+        "decisions": ([(i, f"text {i}" if i % 7 else None, None, f"2025-01-{i % 28 + 1:02d}") for i in range(40)], "id long, decision string, session_id string, created_at string"),
+        "decision_keywords": ([(i, f"k{i % 3}") for i in range(40)], "decision_id long, keyword string"),
+        "events": ([(e, r.randrange(4), r.choices(["view", "error", "signup", "purchase"], [20, 1, 1, 1])[0], dt.datetime(2025, 1, 1) + dt.timedelta(minutes=e)) for e in range(300)], "event_id long, user_id long, event_type string, ts timestamp_ntz"),
     }
     for name, (data, schema) in tables.items():
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     d = str(tmp_path)
-    brand = {p: f"src/brand{p % 5 + 1}.ts" for p in range(40)}
-    pairs = sorted({(o, "src/missing.ts" if flag == "A" and s % 3 == 0 else brand[p]) for o, p, s, flag, _ in tables["lineitem"][0]})
-    events = [tuple(x) for x in graph_relation(spark, d, "g_events").select("seq", "session_id", "op", "file").collect()]
+    pairs = sorted({(x[1], x[3]) for x in tables["decision_anchors"][0] if x[1] is not None and x[3] is not None})
+    events = [(x["seq"], x["session_id"] or "_default", x["op"], x["file"]) for x in graph_relation(spark, d, "s_events").orderBy("seq").collect()]
     want, state = simulate(events, pairs)
     counts = {}
     for seq, session, _, new in want:
@@ -246,10 +247,47 @@ def test_sessions_meet_all_decisions(spark, tmp_path, monkeypatch):
         counts[seq, session] = (a + 1, b + new)
     assert rows(QUERIES["session_reads"](spark, d), "seq", "session_id", "total", "new_cnt") == sorted(((*k, *v) for k, v in counts.items()), key=repr)
     assert rows(QUERIES["session_new_decisions"](spark, d), "seq", "session_id", "decision_id") == sorted((x[:3] for x in want if x[3]), key=repr)
+    assert rows(QUERIES["session_read_decisions"](spark, d), "seq", "session_id", "decision_id", "is_new") == sorted(want, key=repr)
     assert rows(QUERIES["session_state"](spark, d), "session_id", "decision_id") == sorted(((s, x) for s, xs in state.items() for x in xs), key=repr)
     texts = {x["seq"]: x["text"] for x in QUERIES["read_texts"](spark, d).collect()}
     assert set(texts) == {seq for seq, _ in counts} and all(f"] {n} decisions on " in texts[seq] for (seq, _), (n, _) in counts.items())
     assert QUERIES["hook_replies"](spark, d).count() == len(texts)
+    plan = QUERIES["session_reads"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stored_states(spark):
+    """A read writes a state, clear empties it, end removes it, a reset of all empties those there are; the default session too."""
+    t = dt.datetime(2025, 1, 1)
+    log = [("a", "read", "f"), ("b", "read", "f"), ("a", "clear", None), (None, "read", "f"), ("b", "end", None), ("c", "read", "unknown"), ("d", "clear", None), (None, "reset_all", None), ("e", "read", "f"), (None, "read", "g")]
+    e = spark.createDataFrame([(i, s, op, f, t + dt.timedelta(hours=i)) for i, (s, op, f) in enumerate(log)] + [(None, "z", "read", "f", t)], "seq long, session_id string, op string, file string, modified_at timestamp")
+    p = spark.createDataFrame([(2, "f"), (1, "f"), (3, "g"), (4, None)], "decision_id long, file string")
+    states = S.session_states(e, p).cache()
+    at = lambda h: t + dt.timedelta(hours=h)
+    assert rows(states, "session_id", "modified_at", "shown_decision_ids") == sorted([("a", at(7), []), ("_default", at(9), [3]), ("d", at(7), []), ("e", at(8), [1, 2])], key=repr)
+    assert rows(S.read_shown(states, None), "decision_id") == [(3,)] and S.read_shown(states, "no").count() == 0
+    again = S.write_shown(states, spark.createDataFrame([("e", [7]), (None, [])], "session_id string, shown_decision_ids array<long>"), at(20))
+    assert {r["session_id"]: r["shown_decision_ids"] for r in again.collect()} == {"a": [], "d": [], "e": [7], "_default": []}
+    assert {tuple(r["shown_decision_ids"]) for r in S.wiped(states, at(20)).collect()} == {()}
+    assert S.reset_message(states).first()["text"] == "decision cache reset (4 session files wiped)"
+    assert S.reset_message(states.where("session_id = 'a'")).first()["text"] == "decision cache reset (1 session file wiped)"
+    assert S.reset_message(states.where("false")).first()["text"] == "decision cache reset (0 session files wiped)"
+    assert S.session_states(e.where("false"), p).count() == 0
+    assert S.state_path("/work/", None) == "/work/sessions/session_id=_default"
+
+
+def test_keyword_replies_and_summary_lines(spark, knowledge):
+    nodes, decisions, anchors, keywords = knowledge
+    live = D.anchors_with_liveness(anchors, nodes)
+    reply = lambda raw: tuple(serve.keyword_reply(raw, decisions, keywords, live).first())
+    assert reply(None) == reply("[]") == reply("{") == (False, "arguments must be an object")
+    assert reply("{}") == reply('{"keyword": ""}') == reply('{"keyword": 1}') == (False, "keyword must be a non-empty string")
+    assert reply('{"keyword": "none of these"}') == (True, '0 decisions tagged "none of these"')
+    totals = spark.createDataFrame([(1, 2, 0, 0, 0, {}, 0)], "files long, functions long, calls long, resolved long, unresolved long, reasons map<string,long>, files_with_parse_errors long")
+    failures = spark.createDataFrame([(f"f{i}",) for i in range(5)], "file string")
+    dup = spark.createDataFrame([("a", "g"), ("a", "f")], "file string, name string")
+    assert serve.index_summary(totals, 0.0, failures, dup).first()["text"].split("\n")[2:] == ["  0 calls", "  5 parse failures: f0, f1, f2", "  2 duplicate function names dropped: a::f, a::g"]
+    assert serve.index_summary(totals, 0.0, failures.where("false"), dup.where("false")).first()["text"].split("\n")[2:] == ["  0 calls"]
 
 
 def test_shown_once_on_a_stream(spark, event_log, tmp_path):
