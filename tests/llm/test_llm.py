@@ -53,7 +53,7 @@ def texts():
     for i in range(260):
         b = r.choice(base[:8]) if r.random() < 0.4 else r.choice(base)
         out[i] = edited(r, b) if r.random() < 0.7 else b
-    out |= {300: None, 301: "", 302: "", 303: "...", 304: "é ü", 305: "ABC-abc", 306: "abc", 307: "K elvin", 308: " ".join(f"v{i}" for i in range(3000)), 309: " ".join(f"v{i}" for i in range(2, 3002))}
+    out |= {300: None, 301: "", 302: "", 303: "...", 304: "é ü", 305: "ABC-abc", 306: "abc", 307: "K elvin", 310: "\u212a elvin", 311: "\u0130 x y z", 312: "i x y z", 308: " ".join(f"v{i}" for i in range(3000)), 309: " ".join(f"v{i}" for i in range(2, 3002))}
     return out
 
 
