@@ -61,7 +61,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenise.encode(table(spark, d, "documents"), "doc_id", "text").distinct()
+    return tokenise.encode_once(table(spark, d, "documents"), "doc_id", "text")
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.session import cut
+
 from knotwork.functions.text import WIDE_WHITE
 
 #: Folder of the public tokenizers' files.
@@ -270,6 +272,26 @@ def encode(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS) ->
     return rows.mapInArrow(_ids(shared), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
+#: Repeated keys that are sent to all tasks, at most; more meet their rows by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def encode_once(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """encode of the distinct (key, text).
+
+    Keys are counted without their texts; only rows of keys that occur more
+    than once are compared, and ids are never shuffled.
+    """
+    rows = df.select(key, text)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("k"))
+    again = cut(counted)
+    if again.count() <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    same = F.col(key).eqNullSafe(F.col("k"))
+    single, several = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi").dropDuplicates()
+    return encode(single.unionByName(several), key, text, tokenizers)
+
+
 def token_counts(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """key and tokens: how many ids encode would give; 0 for empty and null texts."""
     rows, shared, kind = _prepared(df, key, text, tokenizers)
