@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.heavy import heavy_keys
@@ -95,18 +95,10 @@ def pair_lift(df: DataFrame, record: str, item: str, least_together: int = 5, li
     named = rows.where(F.col("term").isNotNull())
     hot = F.col("term").isin(heavy) if heavy else F.lit(False)
 
-    # light items: one exchange by item serves both the distinct rows and their count
-    light = (
-        named.where(~hot)
-        .groupBy("term", "record")
-        .agg(F.lit(1).alias("one"))
-        .repartition("term")
-        .withColumn("n_item", F.count(F.lit(1)).over(Window.partitionBy("term")))
-        .where(F.col("n_item") >= least_together)
-        .crossJoin(n)
-        .where(F.col("n_item") * lift <= F.col("n"))
-        .select("record", "term", "n_item")
-    )
+    # light items: distinct rows, and their counts by partial aggregation, so that no task holds all rows of an item
+    once = named.where(~hot).groupBy("term", "record").agg(F.lit(1).alias("one"))
+    used = once.groupBy("term").agg(F.count(F.lit(1)).alias("n_item")).where(F.col("n_item") >= least_together).crossJoin(n).where(F.col("n_item") * lift <= F.col("n"))
+    light = once.join(used, "term").select("record", "term", "n_item")
     # long records are split, so that no task holds all items of one
     long = light.groupBy("record").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).where("parts > 1")
     sized = light.join(long, "record", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
@@ -119,9 +111,8 @@ def pair_lift(df: DataFrame, record: str, item: str, least_together: int = 5, li
     def crossed(left: str, right: str):
         return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
-    whole = packed.where("parts = 1").select(
-        F.explode(F.filter(crossed("items", "items"), lambda p: p["x"]["term"] < p["y"]["term"])).alias("p")
-    )
+    later = F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    whole = packed.where("parts = 1").select(F.explode(F.flatten(later)).alias("p"))
     # every two parts of a long record meet in a task of their own
     cut = packed.where("parts > 1")
     met = cut.select("record", "part", "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
