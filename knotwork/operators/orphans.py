@@ -104,7 +104,7 @@ def _judged(keyed: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _split(refs: DataFrame, anchors: DataFrame, nodes: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """(references, verdicts of their keys and months) of the heavy and the remaining keys."""
+    """(references, verdicts of their keys and months) of the heavy and the remaining keys; those without a key are missing and meet nothing."""
     raw = anchors.select(
         _key(uniform_path(F.col("anchor_file")), F.when(F.col("anchor_kind") == "function", F.coalesce(F.col("anchor_name"), F.lit(""))).otherwise("")).alias("key")
     )
@@ -112,11 +112,12 @@ def _split(refs: DataFrame, anchors: DataFrame, nodes: DataFrame) -> list[tuple[
     targets = anchor_targets(nodes)
     hot = F.col("key").isin(heavy) if heavy else F.lit(False)
     # one exchange by key carries the light references to the check and, reused, to the rows at fault
-    light = refs.where(F.coalesce(~hot, F.lit(True))).repartition("key")
+    light = refs.where(F.col("key").isNotNull() & ~hot).repartition("key")
     out = [(light, _judged(light, targets.where(~hot)))]
     if heavy:
         warm = refs.where(hot)
-        out.append((warm, _judged(warm, F.broadcast(targets.where(hot)))))
+        # reduced to a row for each heavy key, kind and month: at most MOST_HEAVY keys, so they go to the references and not these to them
+        out.append((warm, F.broadcast(_judged(warm, F.broadcast(targets.where(hot))))))
     return out
 
 
@@ -129,15 +130,17 @@ def orphan_anchors(anchors: DataFrame, decisions: DataFrame, nodes: DataFrame) -
     give what these rules say: without nodes every anchor is missing.
     """
     parts = []
-    for refs, verdicts in _split(anchor_references(anchors, decisions), anchors, nodes):
-        v = verdicts.select(F.col("key").alias("k"), F.col("anchor_kind").alias("vk"), F.col("month").alias("vm"), "first_at", "verdict")
-        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("anchor_kind") == F.col("vk")) & F.col("month").eqNullSafe(F.col("vm"))
+    every = anchor_references(anchors, decisions)
+    for refs, verdicts in _split(every, anchors, nodes):
+        v = verdicts.select(F.col("key").alias("k"), F.col("anchor_kind").alias("vk"), F.col("month").alias("vm"), "first_at", "verdict")  # keeps the hint
+        same = (F.col("key") == F.col("k")) & (F.col("anchor_kind") == F.col("vk")) & F.col("month").eqNullSafe(F.col("vm"))
         parts.append(refs.join(v, same).where((F.col("verdict") != "part") | (F.col("first_at") > F.col("t"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     kind = F.when(F.col("verdict") == "part", "late").otherwise(F.col("verdict"))
-    return out.select("anchor_id", "anchor_kind", "month", kind.alias("orphan_kind"))
+    keyless = every.where(F.col("key").isNull()).select("anchor_id", "anchor_kind", "month", F.lit("missing").alias("orphan_kind"))
+    return out.select("anchor_id", "anchor_kind", "month", kind.alias("orphan_kind")).unionByName(keyless)
 
 
 def orphan_report(anchors: DataFrame, decisions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -147,8 +150,9 @@ def orphan_report(anchors: DataFrame, decisions: DataFrame, nodes: DataFrame) ->
     which some anchors came before the target and some after are looked at one
     by one. Anchors without a time stand under a null month.
     """
-    parts = []
-    for refs, verdicts in _split(anchor_references(anchors, decisions), anchors, nodes):
+    every = anchor_references(anchors, decisions)
+    parts = [every.where(F.col("key").isNull()).select("anchor_kind", "month", F.lit("missing").alias("orphan_kind"), F.lit(1).cast("long").alias("n"))]
+    for refs, verdicts in _split(every, anchors, nodes):
         parts.append(verdicts.where(F.col("verdict") != "part").select("anchor_kind", "month", F.col("verdict").alias("orphan_kind"), "n"))
         v = verdicts.where(F.col("verdict") == "part").select("key", "anchor_kind", "month", "first_at")
         parts.append(
