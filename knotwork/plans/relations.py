@@ -26,7 +26,7 @@ GRAPH_SQL = {
     "s_events": """select event_id as seq, case when event_id % 9 = 0 then null else concat('s', cast(user_id % 50 as string)) end as session_id,
  case when event_type = 'error' then 'clear' when event_type = 'signup' then 'end' when event_type = 'purchase' and event_id % 500 < 5 then 'reset_all' else 'read' end as op, a.anchor_file as file, e.ts as ts
  from {events} e left join (select anchor_id, min(anchor_file) as anchor_file from {decision_anchors} where anchor_id is not null group by anchor_id) a
- on a.anchor_id = (e.user_id * 5 + e.event_id % 5) % 3000 + 1""",
+ on a.anchor_id = cast(floor(e.event_id / 3) as bigint) + 1""",
     "g_events": "select event_id as seq, concat('s', cast(user_id % 50 as string)) as session_id, case when event_type = 'error' then 'clear' when event_type = 'signup' then 'end' when event_type = 'purchase' and event_id % 500 < 5 then 'reset_all' else 'read' end as op, concat('src/brand', cast(event_id % 25 + 1 as string), '.ts') as file from {events}",
 }
 
